@@ -112,11 +112,11 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Searches and locates phrases in a sequence of symbols; 0 parts its runs."""
+    """Searches and locates phrases in a sequence of symbols; a 0 ends each run, also the last."""
 
     def __init__(self, symbols: np.ndarray):
         order = suffix_array(symbols)
-        self.last = symbols[order - 1]  # before the first symbol stands the end, which is 0
+        self.last = symbols[order - 1]  # before the first symbol stands the last, which is 0
         self.wavelet = WaveletMatrix(self.last)
         self.below = np.concatenate(([0], np.cumsum(np.bincount(symbols))))
         starts_run = np.concatenate(([True], symbols[:-1] == 0))

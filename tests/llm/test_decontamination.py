@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from furrow.llm.decontamination import WORD, FmIndex, find, find_contamination, phrases_of, suffix_array, without_spans
 from furrow.llm.queries import ORACLE_SQL, op5_decontamination
@@ -10,7 +11,8 @@ from tests.llm.oracle import same
 def test_suffix_array_and_index():
     rng = np.random.default_rng(5)
     for n in (1, 2, 7, 60, 400):
-        s = rng.integers(0, 4, n)
+        s = np.append(rng.integers(0, 4, n), 0)
+        n += 1
         zeros = np.cumsum(s == 0)
         keyed = [(0, int(zeros[i])) if s[i] == 0 else (1, int(s[i])) for i in range(n)]
         assert suffix_array(s).tolist() == sorted(range(n), key=lambda i: keyed[i:])
@@ -51,7 +53,7 @@ def test_against_brute_force_and_blocks():
 def test_spans_edge_rows_and_clashes(spark):
     bench = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None), (None, "gamma delta"), (1, "alpha beta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x Alpha, beta y", "q"), (2, None, "q"), (3, "", "q"), (4, "gamma delta alpha beta", "q"), (4, "gamma delta alpha beta", "q")], "doc_id long, text string, n_hit string")
-    out = find_contamination(docs, bench).withColumn("clean", without_spans(docs.text, __import__("pyspark").sql.functions.col("bench_spans")))
+    out = find_contamination(docs, bench).withColumn("clean", without_spans(F.col("text"), F.col("bench_spans")))
     got = sorted((r.doc_id, r.n_words, r.n_hit, r.bench_items, r.clean) for r in out.collect() if r.doc_id != 2)
     assert got == [(1, 4, 2, ["1"], "x  y"), (3, 0, 0, [], ""), (4, 4, 4, ["1"], ""), (4, 4, 4, ["1"], "")]
     assert [(r.n_words, r.n_hit, r.clean) for r in out.where("doc_id = 2").collect()] == [(0, 0, None)]
