@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from furrow.llm.bpe import bpe_encode
 from furrow.llm.decontamination import find_contamination
 from furrow.llm.language_id import fit_languages, predict_languages
+from furrow.llm.line_dedup import dropped_lines
+from furrow.llm.near_duplicates import near_duplicate_classes
 from furrow.llm.text_codes import held_out
 from furrow.llm.token_counts import token_counts
 from furrow.llm.toxicity import fit_toxicity, score_toxicity
@@ -32,6 +34,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document; the document whose id is the class id stays."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and benchmark items of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,12 +60,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, from 0, of the lines that every document loses."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = dropped_lines(docs).withColumnRenamed("doc_id", "id")
+    out = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")).join(gone, F.col("doc_id") == F.col("id"), "left")
+    lost = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - lost).alias("n_kept"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_counts": op3_token_counts,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -16,24 +16,24 @@ CHUNK_CHARS = 1_000_000
 SPACE = 32
 
 
-@lru_cache(maxsize=1)
-def letter_table() -> np.ndarray:
-    """True for each code point that is a letter, or a mark inside a word."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+@lru_cache(maxsize=2)
+def word_table(kinds: str) -> np.ndarray:
+    """True for each code point whose general category begins with one of `kinds`."""
+    return np.array([unicodedata.category(chr(c))[0] in kinds for c in range(0x110000)])
 
 
 class Words:
-    """Lower-cased words (runs of letters) of several texts.
+    """Lower-cased words (runs of letters and marks, or of other `kinds`) of several texts.
 
     `codes` has one space before each word and one after the last; `word` numbers each place by the word it begins or
     lies in; `doc` is the text of each word.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], kinds: str = "LM"):
         lowered = [t.lower() for t in texts]
         raw = np.frombuffer("\n".join(lowered).encode("utf-32-le", "replace"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in lowered])
-        letter = letter_table()[raw]
+        letter = word_table(kinds)[raw]
         keep = letter.copy()
         keep[1:] |= letter[:-1]
         codes = np.where(letter, raw, SPACE)[keep].astype(np.uint64)
