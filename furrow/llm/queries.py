@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from furrow.llm.bpe import bpe_encode
 from furrow.llm.decontamination import find_contamination
+from furrow.llm.html_blocks import extract_main_text, fit_labeller
 from furrow.llm.language_id import fit_languages, predict_languages
 from furrow.llm.line_dedup import dropped_lines
 from furrow.llm.near_duplicates import near_duplicate_classes
+from furrow.llm.quote_links import link_quotes
 from furrow.llm.text_codes import held_out
 from furrow.llm.token_counts import token_counts
+from furrow.llm.top_k import exact_top_k, quantized
 from furrow.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -22,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors of each vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantized(F.col("embedding")).alias("v")).where("id is not null and v is not null")
+    return exact_top_k(rows.where("id % 50 = 0"), rows, 5)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the text they decode to."""
     out = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
@@ -60,6 +69,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without quotes, with the message that each replies to and its thread."""
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = extract_main_text(pages, fit_labeller(pages))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, from 0, of the lines that every document loses."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,12 +91,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_quote_links": op8_quote_links,
+    "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -97,4 +121,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": _OP5}
+_OP1 = """
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM q a, q b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_top_k": _OP1, "op5_decontamination": _OP5}
