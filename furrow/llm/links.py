@@ -1,13 +1,14 @@
 """Classes of similar items from bucketed candidates, with no group in one task and no lost link.
 
-`classes` takes bucket memberships and a function that measures pairs, and returns connected components of the pairs
-within the threshold. Distances must be a metric (Jaccard distances are). A bucket isn't expanded into all its pairs:
+`classes` takes bucket memberships and a function that gives the sets of items, and returns the connected components of
+pairs whose Jaccard distance, which is a metric, is within a bound. A bucket isn't expanded into all its pairs:
 
 1. Each member is measured against one hub of its bucket. Pairs within the threshold are links.
-2. Buckets whose members already share one component need no more. In the others, hubs are drawn again, one member of
-   each component against the bucket's new hub, for `HUB_ROUNDS` rounds.
-3. What is left are members of different components in one bucket. Their pairs are all measured, other than those
-   that the triangle inequality over a common hub proves to be too far apart.
+2. Buckets whose members already share one component need no more. In the others, one member of each component is
+   measured against a new hub out of the bucket's largest component, for `HUB_ROUNDS` rounds.
+3. What is left are members outside the largest component of their bucket. Each is compared with all members of that
+   component in such buckets, unless the triangle inequality over a hub proves them too far apart, and with the others
+   outside it. The two sides meet in small blocks, one row each, and only links leave a row.
 
 All tables are keyed and spread by item or bucket; the steps between rounds are cut by checkpoints in the shared
 folder, so a lost executor costs a part of one round.
@@ -19,13 +20,18 @@ import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HUB_ROUNDS = 3
+#: Items of a side of a block.
+BLOCK = 64
 #: A table of at most so many narrow rows may be broadcast; a larger one is joined by shuffles.
 BROADCAST_ROWS = 400_000
 
+#: From (item) to (item, elements), the set of each item as an array without repeats.
+SetsOf = Callable[[DataFrame], DataFrame]
+
 
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed and kept in the shared checkpoint folder."""
@@ -72,45 +78,83 @@ def labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, "item", "left").withColumn("comp", F.coalesce("label", "item")).drop("label")
 
 
-def classes(spark: SparkSession, members: DataFrame, measure: Callable[[DataFrame], DataFrame], most: float) -> DataFrame:
-    """(item, label) of the items that have a link. members: (bucket, item), distinct; measure: (a, b) -> (a, b, distance)."""
+def _pairs(x: str, y: str) -> list:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def _distance(x, y):
+    common = F.size(F.array_intersect(x, y))
+    return 1 - common / (F.size(x) + F.size(y) - common)
+
+
+def measured(pairs: DataFrame, sets_of: SetsOf) -> DataFrame:
+    """(a, b, distance) of pairs (a, b): 1 less the exact Jaccard similarity of their sets."""
+    pairs = cut(pairs)
+    sets = sets_of(cut(pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()))
+    both = pairs.join(sets.select(F.col("item").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("item").alias("b"), F.col("elements").alias("y")), "b")
+    return both.select("a", "b", _distance(F.col("x"), F.col("y")).alias("distance"))
+
+
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arena, item, l, r) of both sides: every item of one side meets every item of the other in one small block."""
+    ways = []
+    for side, other, own, away in ((left, right, "l", "r"), (right, left, "r", "l")):
+        count = [d.groupBy("arena").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias(n)) for d, n in ((side, "n"), (other, "m"))]
+        dealt = side.join(count[0], "arena").join(count[1], "arena").select("arena", "item", F.pmod(F.xxhash64("item"), F.col("n")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias(away))
+        ways.append(dealt.select("arena", "item", "l", "r"))
+    return ways[0], ways[1]
+
+
+def links_between(left: DataFrame, right: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
+    """Links (a, b) between all items of both sides of each arena, compared block by block inside a row."""
+    left, right = cut(left.distinct()), cut(right.distinct())
+    sets = cut(sets_of(cut(left.select("item").union(right.select("item")).distinct())))
+    blocks = [d.join(sets, "item").groupBy("arena", "l", "r").agg(F.collect_list(F.struct("item", "elements")).alias(n)) for d, n in zip(_sides(left, right), "xy", strict=True)]
+    met = blocks[0].join(blocks[1], ["arena", "l", "r"])
+    found = F.flatten(F.transform("x", lambda x: F.transform(F.filter("y", lambda y: (x["item"] != y["item"]) & (_distance(x["elements"], y["elements"]) <= most)), lambda y: F.struct(x["item"].alias("x"), y["item"].alias("y")))))
+    return met.select(F.explode(found).alias("f")).select(*_pairs("f.x", "f.y")).distinct()
+
+
+def classes(members: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
+    """(item, label) of the items that have a link. members: (bucket, item), distinct; most: the largest distance of a link."""
     members = cut(members)
     hubs = members.groupBy("bucket").agg(F.min("item").alias("hub"))
-    tested = cut(measure(members.join(hubs, "bucket").where("item <> hub").select(F.greatest("item", "hub").alias("a"), F.least("item", "hub").alias("b")).distinct()))
+    tested = first = cut(measured(members.join(hubs, "bucket").where("item <> hub").select(*_pairs("item", "hub")).distinct(), sets_of))
     links = tested.where(F.col("distance") <= most).select("a", "b")
     comps = components(links)
-    first = tested
     for k in range(HUB_ROUNDS):
         open_ = cut(open_buckets(labelled(members, comps)))
         if open_.isEmpty():
             return comps
-        # one member of each component of a bucket, and the bucket's hub among them, drawn by a hash of this round
-        draw = F.xxhash64(F.lit(k), "bucket", "item")
-        picked = open_.groupBy("bucket", "comp").agg(F.min(F.struct(draw.alias("d"), "item")).alias("p")).select("bucket", F.col("p.d").alias("d"), F.col("p.item").alias("item"))
-        hub = picked.groupBy("bucket").agg(F.min(F.struct("d", "item")).alias("p")).select("bucket", F.col("p.item").alias("hub"))
-        pairs = picked.join(hub, "bucket").where("item <> hub").select(F.greatest("item", "hub").alias("a"), F.least("item", "hub").alias("b")).distinct()
-        fresh = cut(measure(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")))
+        # a member of the bucket's largest component, drawn by a hash of this round, against one of each other component
+        picked = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(k), "bucket", "item").alias("d"), "item")).alias("p")).select("bucket", "n", "comp", F.col("p.item").alias("item"))
+        hub = picked.groupBy("bucket").agg(F.max(F.struct("n", "comp", "item")).alias("p")).select("bucket", F.col("p.item").alias("hub"))
+        pairs = picked.join(hub, "bucket").where("item <> hub").select(*_pairs("item", "hub")).distinct()
+        fresh = cut(measured(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets_of))
         tested = tested.union(fresh)
         more = fresh.where(F.col("distance") <= most).select("a", "b")
         if not more.isEmpty():
-            links = links.union(more)
+            links = cut(links.union(more))
             comps = components(links)
     rest = cut(open_buckets(labelled(members, comps)))
     if rest.isEmpty():
         return comps
-    # distance to the bucket's first hub, where it is known
+    main = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
+    # distances to the bucket's first hub bound what is left: an item farther from it than the main component's farthest
+    # member, by more than the largest distance of a link, has no link to that component
     near = reduce(DataFrame.union, (first.select(F.col(x).alias("item"), F.col(y).alias("hub"), "distance") for x, y in (("a", "b"), ("b", "a"))))
-    rest = rest.join(hubs, "bucket").join(near, ["item", "hub"], "left").withColumn("distance", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("distance"))).select("bucket", "item", "comp", "distance")
-    size = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = size.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
-    minor = rest.join(main, "bucket").where("comp <> main").select("bucket", *(F.col(c).alias(f"{c}2") for c in ("item", "comp", "distance")), "main")
-    pairs = rest.join(minor, "bucket").where(
-        ((F.col("comp") == F.col("main")) | (F.col("comp") < F.col("comp2")))
-        & (F.col("comp") != F.col("comp2"))
-        & (F.coalesce(F.abs(F.col("distance") - F.col("distance2")), F.lit(0.0)) <= most + 1e-9)
-    )
-    pairs = pairs.select(F.greatest("item", "item2").alias("a"), F.least("item", "item2").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(measure(pairs).where(F.col("distance") <= most).select("a", "b"))
+    rest = rest.join(main, "bucket").join(hubs, "bucket").join(near, ["item", "hub"], "left")
+    rest = cut(rest.select("bucket", "item", "comp", "main", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("distance")))
+    far = rest.where("comp = main").groupBy("bucket").agg(F.max("distance").alias("far"), F.count_if(F.col("distance").isNull()).alias("unknown"))
+    minor = cut(rest.where("comp <> main").select("bucket", "item", "main", "distance"))
+    close = minor.join(far, "bucket").where((F.col("unknown") > 0) | F.col("distance").isNull() | (F.col("distance") - F.col("far") <= most + 1e-9))
+    close = cut(close.select(F.col("main").alias("arena"), "item").distinct())
+    core = rest.where("comp = main").select(F.col("main").alias("arena"), "item").join(close.select("arena").distinct(), "arena", "left_semi")
+    among = minor.select(F.col("bucket").alias("arena"), "item")
+    several = among.groupBy("arena").agg(F.count("*").alias("n")).where("n > 1").select("arena")
+    among = cut(among.join(several, "arena", "left_semi"))
+    more = links_between(close, core, sets_of, most).union(links_between(among, among, sets_of, most))
+    more = cut(more.distinct())
     return comps if more.isEmpty() else components(links.union(more))
 
 

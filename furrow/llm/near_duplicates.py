@@ -165,7 +165,6 @@ def _elements(df: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """`id_col` and class_id, the least id of the class, for every row."""
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     sketched = cut(_sketch(known))
@@ -174,17 +173,12 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     bands = groups.select(F.explode("bands").alias("bucket"), "item")
     members = crowded(bands).distinct()
 
-    def measure(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        wanted = small_side(wanted, wanted.count())
+    def sets_of(items: DataFrame) -> DataFrame:
+        wanted = small_side(items.select(F.col("item").alias("id")), items.count())
         # a repeated id may stand for several texts: take the one of the least text
-        sets = _elements(known.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-        both = pairs.join(sets.select(F.col("item").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("item").alias("b"), F.col("elements").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.select("a", "b", (1 - common / (F.size("x") + F.size("y") - common)).alias("distance"))
+        return _elements(known.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
-    comps = classes(spark, members, measure, 1 - similarity + 1e-12)
+    comps = classes(members, sets_of, 1 - similarity + 1e-12)
     found = groups.select("key", "item").join(comps, "item", "left").select("key", F.coalesce("label", "item").alias("class_id"))
     out = sketched.select("id", "key").join(found, "key").select(F.col("id").alias(id_col), "class_id")
     alone = docs.where(F.col("id").isNull() | F.col("text").isNull()).select(F.col("id").alias(id_col), F.col("id").alias("class_id"))
