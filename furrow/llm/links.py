@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Items of a side of a block.
 BLOCK = 64
 #: A table of at most so many narrow rows may be broadcast; a larger one is joined by shuffles.
@@ -46,40 +46,40 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _pairs(x: str, y: str) -> list:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(item, label) of all items of `links` (a, b), label being the least item that it is connected to.
 
-    Alternating stars: every item points its larger neighbours to its least neighbour, then itself and its smaller
-    neighbours, until nothing changes; each round is grouped sums and joins, never a whole neighbourhood in a task.
+    Union by contraction: every item points to its least neighbour or stays, links are mapped to what their ends point
+    to, and links inside one group vanish, until none is left. After the first round "least" goes by a hash, so that
+    chains shrink by a constant share a round. Rounds are grouped minima and joins; no neighbourhood meets in a task.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    edges, before = cut(edges), None
+    edges = cut(links.where("a <> b").select(*_pairs("a", "b")).distinct())
+    labels, rounds = None, 0
     while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % F.lit(1_000_003)).alias("h")).first()
-        if before == (state["n"], state["h"]):
-            break
-        before = (state["n"], state["h"])
-        # large star: larger neighbours of u point to the least of u and its neighbours
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        # small star: u and its smaller neighbours point to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        edges = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-    # stars now: each item points to its least one
-    return edges.select(F.col("a").alias("item"), F.col("b").alias("label")).union(edges.select(F.col("b"), F.col("b")).distinct())
-
-
-def labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """`members` with the component of each item: its label, or itself."""
-    if comps is None:
-        return members.withColumn("comp", F.col("item"))
-    return members.join(comps, "item", "left").withColumn("comp", F.coalesce("label", "item")).drop("label")
+        key = (lambda c: F.struct(F.col(c).alias("i"))) if rounds == 0 else (lambda c: F.struct(F.xxhash64(F.lit(rounds), c).alias("h"), F.col(c).alias("i")))  # noqa: B023
+        up = cut(both.groupBy(F.col("a").alias("item")).agg(F.min(key("b")).alias("m")).select("item", F.least(key("item"), "m")["i"].alias("up")))
+        ends = [up.select(F.col("item").alias(c), F.col("up").alias(f"{c}2")) for c in "ab"]
+        edges = cut(edges.join(ends[0], "a").join(ends[1], "b").where("a2 <> b2").select(*_pairs("a2", "b2")).distinct())
+        labels = up.withColumnRenamed("up", "label") if labels is None else cut(labels.join(up.select(F.col("item").alias("label"), "up"), "label", "left").select("item", F.coalesce("up", "label").alias("label")))
+        rounds += 1
+        if edges.isEmpty():
+            break
+    if rounds == 1:
+        return labels
+    least = labels.groupBy("label").agg(F.min("item").alias("least"))
+    return cut(labels.join(least, "label").select("item", F.col("least").alias("label")))
 
 
-def _pairs(x: str, y: str) -> list:
-    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """`comps` (item, label) after the links `more` (a, b) between its items."""
+    ends = [comps.select(F.col("item").alias(c), F.col("label").alias(f"{c}2")) for c in "ab"]
+    merged = components(more.join(ends[0], "a").join(ends[1], "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")))
+    return cut(comps.join(merged.select(F.col("item").alias("label"), F.col("label").alias("to")), "label", "left").select("item", F.coalesce("to", "label").alias("label")))
 
 
 def _distance(x, y):
@@ -116,14 +116,14 @@ def links_between(left: DataFrame, right: DataFrame, sets_of: SetsOf, most: floa
 
 
 def classes(members: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
-    """(item, label) of the items that have a link. members: (bucket, item), distinct; most: the largest distance of a link."""
+    """(item, label) of all items of `members`; label is the least item of the class. members: (bucket, item), distinct; most: the largest distance of a link."""
     members = cut(members)
     hubs = members.groupBy("bucket").agg(F.min("item").alias("hub"))
     tested = first = cut(measured(members.join(hubs, "bucket").where("item <> hub").select(*_pairs("item", "hub")).distinct(), sets_of))
-    links = tested.where(F.col("distance") <= most).select("a", "b")
-    comps = components(links)
+    found = components(tested.where(F.col("distance") <= most).select("a", "b"))
+    comps = cut(members.select("item").distinct().join(found, "item", "left").select("item", F.coalesce("label", "item").alias("label")))
     for k in range(HUB_ROUNDS):
-        open_ = cut(open_buckets(labelled(members, comps)))
+        open_ = cut(open_buckets(members, comps))
         if open_.isEmpty():
             return comps
         # a member of the bucket's largest component, drawn by a hash of this round, against one of each other component
@@ -134,9 +134,8 @@ def classes(members: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
         tested = tested.union(fresh)
         more = fresh.where(F.col("distance") <= most).select("a", "b")
         if not more.isEmpty():
-            links = cut(links.union(more))
-            comps = components(links)
-    rest = cut(open_buckets(labelled(members, comps)))
+            comps = joined(comps, more)
+    rest = cut(open_buckets(members, comps))
     if rest.isEmpty():
         return comps
     main = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
@@ -155,13 +154,14 @@ def classes(members: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
     among = cut(among.join(several, "arena", "left_semi"))
     more = links_between(close, core, sets_of, most).union(links_between(among, among, sets_of, most))
     more = cut(more.distinct())
-    return comps if more.isEmpty() else components(links.union(more))
+    return comps if more.isEmpty() else joined(comps, more)
 
 
-def open_buckets(members: DataFrame) -> DataFrame:
+def open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members (bucket, item, comp) of the buckets that hold more than one component."""
+    members = members.join(comps, "item").select("bucket", "item", F.col("label").alias("comp"))
     span = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    return members.join(span, "bucket").select("bucket", "item", "comp")
+    return members.join(span, "bucket")
 
 
 def crowded(bands: DataFrame) -> DataFrame:
