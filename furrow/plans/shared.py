@@ -191,3 +191,23 @@ _("sta_transitions", """SELECT field_id, CASE WHEN status = 'ESTIMATED' THEN 'CO
 _("sta_worker_plan", """SELECT field_id, greatest(1, least(12, attempts * 4, CAST(floor(seconds * 0.75E0 / 768) AS INT))) AS workers FROM {v_status}""")
 _("tim_invalidated", """SELECT field_id, status, CASE WHEN batch % 7 = 0 THEN NULL ELSE seconds END AS seconds FROM {v_status}""")
 _("tim_reconciled", """SELECT chain, category, round(sum(length), 4) AS distance_m, round(sum(length / cap), 4) AS seconds, min(cap) AS cap FROM {v_legs} GROUP BY chain, category""")
+
+# speed classes from arc-length samples: a sample is slow where the heading of the track changes near it
+_("win_local_speed_blocks", """WITH e AS (SELECT chain, i, dx, dy, abs(dx) + abs(dy) AS len, sum(abs(dx) + abs(dy)) OVER (PARTITION BY chain ORDER BY i) AS till FROM (SELECT chain, i, (lead(x) OVER w) - x AS dx, (lead(y) OVER w) - y AS dy FROM {v_track} WINDOW w AS (PARTITION BY chain ORDER BY i)) p WHERE dx IS NOT NULL),
+    s AS (SELECT e.chain, CAST(k.id AS INT) AS sample, CASE WHEN e.dx > 0 THEN 1 WHEN e.dx < 0 THEN -1 ELSE 0 END AS hx, CASE WHEN e.dy > 0 THEN 1 WHEN e.dy < 0 THEN -1 ELSE 0 END AS hy FROM e JOIN (SELECT * FROM range(0, 400) AS t(id)) k ON k.id * 25 >= e.till - e.len AND k.id * 25 < e.till),
+    c AS (SELECT chain, sample, CASE WHEN hx <> coalesce(lag(hx) OVER w, hx) OR hy <> coalesce(lag(hy) OVER w, hy) OR hx <> coalesce(lead(hx) OVER w, hx) OR hy <> coalesce(lead(hy) OVER w, hy) THEN 1 ELSE 0 END AS slow FROM s WINDOW w AS (PARTITION BY chain ORDER BY sample)),
+    r AS (SELECT chain, sample, slow, sum(fresh) OVER (PARTITION BY chain ORDER BY sample) AS block FROM (SELECT *, CASE WHEN lag(slow) OVER (PARTITION BY chain ORDER BY sample) = slow THEN 0 ELSE 1 END AS fresh FROM c) q)
+    SELECT chain, CAST(block AS BIGINT) AS block, slow, 25 * min(sample) AS start_m, 25 * (max(sample) + 1) AS end_m, CASE slow WHEN 1 THEN 0.8E0 ELSE 2.36E0 END AS cap FROM r GROUP BY chain, block, slow""")
+_("hea_rectilinear_inset", """SELECT field_id, region_id, CAST(k.id AS INT) AS ring, round(x0 + 3.75E0 * (k.id + 0.5E0), 4) AS rx0, round(y0 + 3.75E0 * (k.id + 0.5E0), 4) AS ry0, round(x1 - 3.75E0 * (k.id + 0.5E0), 4) AS rx1, round(y1 - 3.75E0 * (k.id + 0.5E0), 4) AS ry1,
+    round(greatest(0, x1 - x0 - 3.75E0 * (2 * k.id + 1)) * greatest(0, y1 - y0 - 3.75E0 * (2 * k.id + 1)), 4) AS inner_m2 FROM {v_regions} CROSS JOIN (SELECT * FROM range(0, 3) AS t(id)) k WHERE x1 - x0 > 3.75E0 * (2 * k.id + 1) AND y1 - y0 > 3.75E0 * (2 * k.id + 1)""")
+_("nav_work_replay", """SELECT chain, sequence, category, round(sum(CASE WHEN working THEN length ELSE 0 END) OVER (PARTITION BY chain ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS worked_before,
+    NOT working AND coalesce(sum(CASE WHEN working THEN length ELSE 0 END) OVER (PARTITION BY chain ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < length AS over_unworked FROM {v_legs}""")
+_("swa_order_modes", """SELECT field_id, mode, row_index, piece, CAST(row_number() OVER (PARTITION BY field_id, mode ORDER BY CASE WHEN mode = 'skip_row_then_fill' THEN row_index % 2 ELSE 0 END, row_index, CASE WHEN row_index % 2 = 1 THEN -x0 ELSE x0 END) AS INT) AS place FROM {v_segments} CROSS JOIN (SELECT * FROM (VALUES ('serpentine'), ('skip_row_then_fill')) AS t(mode)) m""")
+_("swa_joint_pairs", """WITH c AS (SELECT field_id, region_id, CAST(y0 AS DOUBLE) - 3.675E0 * floor(y0 / 3.675E0) AS phase, x1 - x0 AS len FROM {v_regions}) SELECT a.field_id, a.region_id AS region_a, b.region_id AS region_b, round(least(abs(a.phase - b.phase), 3.675E0 - abs(a.phase - b.phase)), 4) AS off_m, least(a.len, b.len) >= 0.95E0 * greatest(a.len, b.len) AS alike
+    FROM c a JOIN c b ON a.field_id = b.field_id AND a.region_id < b.region_id""")
+_("src_metric_digest", """SELECT field_id, sequence, round(sqrt((b_x - a_x) * (b_x - a_x) + (b_y - a_y) * (b_y - a_y)), 4) AS length, abs(b_x - a_x) + abs(b_y - a_y) > 1E-7 AS valid FROM {v_route}""")
+_("par_merge_step", """WITH small AS (SELECT field_id, region_id, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY field_id ORDER BY (x1 - x0) * (y1 - y0), region_id) AS r FROM {v_regions}),
+    cand AS (SELECT s.field_id, s.region_id, b.region_id AS into_region, greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS seam FROM small s JOIN {v_regions} a ON a.field_id = s.field_id AND a.region_id = s.region_id JOIN {v_regions} b ON b.field_id = s.field_id AND b.region_id <> s.region_id
+      AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 WHERE s.r = 1 AND s.area < 2500)
+    SELECT field_id, region_id, into_region, seam FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY seam DESC, into_region) AS r FROM cand WHERE seam > 0) q WHERE r = 1""")
+_("fil_short_stubs", """SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity < 5 THEN 'STUB' WHEN l_quantity < 10 THEN 'REVIEW' ELSE 'KEEP' END AS verdict FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00'""")
