@@ -41,6 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """`cut` for narrow rows of links and items: about two tasks a core write it, however many partitions made it."""
+    return cut(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint for a counted table of few narrow rows."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -55,31 +60,32 @@ def components(links: DataFrame) -> DataFrame:
 
     Union by contraction: every item points to its least neighbour or stays, links are mapped to what their ends point
     to, and links inside one group vanish, until none is left. After the first round "least" goes by a hash, so that
-    chains shrink by a constant share a round. Rounds are grouped minima and joins; no neighbourhood meets in a task.
+    chains shrink by a share a round, on average, and stars vanish in two. Rounds are grouped
+    minima and joins; no neighbourhood meets in a task.
     """
-    edges = cut(links.where("a <> b").select(*_pairs("a", "b")).distinct())
+    edges = gathered(links.where("a <> b").select(*_pairs("a", "b")).distinct())
     labels, rounds = None, 0
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        key = (lambda c: F.struct(F.col(c).alias("i"))) if rounds == 0 else (lambda c: F.struct(F.xxhash64(F.lit(rounds), c).alias("h"), F.col(c).alias("i")))  # noqa: B023
-        up = cut(both.groupBy(F.col("a").alias("item")).agg(F.min(key("b")).alias("m")).select("item", F.least(key("item"), "m")["i"].alias("up")))
+        key = (lambda c: F.struct(F.col(c).alias("i"))) if rounds == 0 else (lambda c: F.struct(F.xxhash64(F.lit(17), c).alias("h"), F.col(c).alias("i")))
+        up = both.groupBy(F.col("a").alias("item")).agg(F.min(key("b")).alias("m")).select("item", F.least(key("item"), "m")["i"].alias("up"))
         ends = [up.select(F.col("item").alias(c), F.col("up").alias(f"{c}2")) for c in "ab"]
-        edges = cut(edges.join(ends[0], "a").join(ends[1], "b").where("a2 <> b2").select(*_pairs("a2", "b2")).distinct())
-        labels = up.withColumnRenamed("up", "label") if labels is None else cut(labels.join(up.select(F.col("item").alias("label"), "up"), "label", "left").select("item", F.coalesce("up", "label").alias("label")))
-        rounds += 1
+        mapped = gathered(edges.join(ends[0], "a").join(ends[1], "b").where("a2 <> b2").select(*_pairs("a2", "b2")).distinct())
+        labels = gathered(up.withColumnRenamed("up", "label")) if labels is None else gathered(labels.join(up.select(F.col("item").alias("label"), "up"), "label", "left").select("item", F.coalesce("up", "label").alias("label")))
+        edges, rounds = mapped, rounds + 1
         if edges.isEmpty():
             break
     if rounds == 1:
         return labels
     least = labels.groupBy("label").agg(F.min("item").alias("least"))
-    return cut(labels.join(least, "label").select("item", F.col("least").alias("label")))
+    return gathered(labels.join(least, "label").select("item", F.col("least").alias("label")))
 
 
 def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
     """`comps` (item, label) after the links `more` (a, b) between its items."""
     ends = [comps.select(F.col("item").alias(c), F.col("label").alias(f"{c}2")) for c in "ab"]
     merged = components(more.join(ends[0], "a").join(ends[1], "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")))
-    return cut(comps.join(merged.select(F.col("item").alias("label"), F.col("label").alias("to")), "label", "left").select("item", F.coalesce("to", "label").alias("label")))
+    return gathered(comps.join(merged.select(F.col("item").alias("label"), F.col("label").alias("to")), "label", "left").select("item", F.coalesce("to", "label").alias("label")))
 
 
 def _distance(x, y):
@@ -89,8 +95,8 @@ def _distance(x, y):
 
 def measured(pairs: DataFrame, sets_of: SetsOf) -> DataFrame:
     """(a, b, distance) of pairs (a, b): 1 less the exact Jaccard similarity of their sets."""
-    pairs = cut(pairs)
-    sets = sets_of(cut(pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()))
+    pairs = gathered(pairs)
+    sets = sets_of(gathered(pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()))
     both = pairs.join(sets.select(F.col("item").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("item").alias("b"), F.col("elements").alias("y")), "b")
     return both.select("a", "b", _distance(F.col("x"), F.col("y")).alias("distance"))
 
@@ -107,8 +113,8 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def links_between(left: DataFrame, right: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
     """Links (a, b) between all items of both sides of each arena, compared block by block inside a row."""
-    left, right = cut(left.distinct()), cut(right.distinct())
-    sets = cut(sets_of(cut(left.select("item").union(right.select("item")).distinct())))
+    left, right = gathered(left.distinct()), gathered(right.distinct())
+    sets = cut(sets_of(gathered(left.select("item").union(right.select("item")).distinct())))
     blocks = [d.join(sets, "item").groupBy("arena", "l", "r").agg(F.collect_list(F.struct("item", "elements")).alias(n)) for d, n in zip(_sides(left, right), "xy", strict=True)]
     met = blocks[0].join(blocks[1], ["arena", "l", "r"])
     found = F.flatten(F.transform("x", lambda x: F.transform(F.filter("y", lambda y: (x["item"] != y["item"]) & (_distance(x["elements"], y["elements"]) <= most)), lambda y: F.struct(x["item"].alias("x"), y["item"].alias("y")))))
@@ -117,25 +123,25 @@ def links_between(left: DataFrame, right: DataFrame, sets_of: SetsOf, most: floa
 
 def classes(members: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
     """(item, label) of all items of `members`; label is the least item of the class. members: (bucket, item), distinct; most: the largest distance of a link."""
-    members = cut(members)
+    members = gathered(members)
     hubs = members.groupBy("bucket").agg(F.min("item").alias("hub"))
-    tested = first = cut(measured(members.join(hubs, "bucket").where("item <> hub").select(*_pairs("item", "hub")).distinct(), sets_of))
+    tested = first = gathered(measured(members.join(hubs, "bucket").where("item <> hub").select(*_pairs("item", "hub")).distinct(), sets_of))
     found = components(tested.where(F.col("distance") <= most).select("a", "b"))
-    comps = cut(members.select("item").distinct().join(found, "item", "left").select("item", F.coalesce("label", "item").alias("label")))
+    comps = gathered(members.select("item").distinct().join(found, "item", "left").select("item", F.coalesce("label", "item").alias("label")))
     for k in range(HUB_ROUNDS):
-        open_ = cut(open_buckets(members, comps))
+        open_ = gathered(open_buckets(members, comps))
         if open_.isEmpty():
             return comps
         # a member of the bucket's largest component, drawn by a hash of this round, against one of each other component
         picked = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(k), "bucket", "item").alias("d"), "item")).alias("p")).select("bucket", "n", "comp", F.col("p.item").alias("item"))
         hub = picked.groupBy("bucket").agg(F.max(F.struct("n", "comp", "item")).alias("p")).select("bucket", F.col("p.item").alias("hub"))
         pairs = picked.join(hub, "bucket").where("item <> hub").select(*_pairs("item", "hub")).distinct()
-        fresh = cut(measured(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets_of))
+        fresh = gathered(measured(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets_of))
         tested = tested.union(fresh)
         more = fresh.where(F.col("distance") <= most).select("a", "b")
         if not more.isEmpty():
             comps = joined(comps, more)
-    rest = cut(open_buckets(members, comps))
+    rest = gathered(open_buckets(members, comps))
     if rest.isEmpty():
         return comps
     main = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
@@ -143,17 +149,17 @@ def classes(members: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
     # member, by more than the largest distance of a link, has no link to that component
     near = reduce(DataFrame.union, (first.select(F.col(x).alias("item"), F.col(y).alias("hub"), "distance") for x, y in (("a", "b"), ("b", "a"))))
     rest = rest.join(main, "bucket").join(hubs, "bucket").join(near, ["item", "hub"], "left")
-    rest = cut(rest.select("bucket", "item", "comp", "main", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("distance")))
+    rest = gathered(rest.select("bucket", "item", "comp", "main", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("distance")))
     far = rest.where("comp = main").groupBy("bucket").agg(F.max("distance").alias("far"), F.count_if(F.col("distance").isNull()).alias("unknown"))
-    minor = cut(rest.where("comp <> main").select("bucket", "item", "main", "distance"))
+    minor = gathered(rest.where("comp <> main").select("bucket", "item", "main", "distance"))
     close = minor.join(far, "bucket").where((F.col("unknown") > 0) | F.col("distance").isNull() | (F.col("distance") - F.col("far") <= most + 1e-9))
-    close = cut(close.select(F.col("main").alias("arena"), "item").distinct())
+    close = gathered(close.select(F.col("main").alias("arena"), "item").distinct())
     core = rest.where("comp = main").select(F.col("main").alias("arena"), "item").join(close.select("arena").distinct(), "arena", "left_semi")
     among = minor.select(F.col("bucket").alias("arena"), "item")
     several = among.groupBy("arena").agg(F.count("*").alias("n")).where("n > 1").select("arena")
-    among = cut(among.join(several, "arena", "left_semi"))
+    among = gathered(among.join(several, "arena", "left_semi"))
     more = links_between(close, core, sets_of, most).union(links_between(among, among, sets_of, most))
-    more = cut(more.distinct())
+    more = gathered(more.distinct())
     return comps if more.isEmpty() else joined(comps, more)
 
 
