@@ -61,7 +61,7 @@ class Shingles:
         self.docs, size = words.doc[first], np.diff(np.append(first, n))
         count = np.maximum(size - SHINGLE + 1, 1)
         doc = np.repeat(self.docs, count)
-        at = np.arange(count.sum()) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.repeat(first, count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
         end = np.repeat(first + size, count)
         s = np.zeros(len(at), np.uint64)
         padded = np.append(h, np.zeros(SHINGLE, np.uint64))

@@ -151,3 +151,9 @@ def test_lines_on_the_table(spark, small):
 def test_line_path_is_native(spark, small):
     plan = op10_line_dedup(spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_texts_without_any_word(spark):
+    df = spark.createDataFrame([(1, ""), (2, ""), (3, "?"), (4, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.class_id for r in near_duplicate_classes(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert dropped_lines(df).count() == 0
