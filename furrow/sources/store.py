@@ -11,7 +11,6 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def parameter_id(parameters: dict) -> str:
@@ -79,8 +78,3 @@ def worker_plan(request: int, idle_cpus: int, free_mib: float, fields: int, work
     """Workers for a batch: the least of the request, idle CPUs, memory slots and fields; one if memory is unknown."""
     slots = 1 if free_mib <= 0 else int(max(0.0, free_mib * share - reserve_mib) // worker_mib)
     return max(1, min(request or 12, idle_cpus, slots, fields))
-
-
-EVENT_SCHEMA = T.StructType.fromDDL("field_id long, event_id string, event_type string, start_progress_m double, end_progress_m double, duration_s double")
-
-

@@ -133,7 +133,7 @@ def test_parameters():
         Speeds(work=float("nan"))
     with pytest.raises(ValueError):
         Planning(overlap=1.0)
-    assert Planning().spacing(Vehicle()) == pytest.approx(3.675) and Vehicle().turning_clearance > 5
+    assert Planning().spacing(Vehicle()) == pytest.approx(3.675) and 3 < Vehicle().turning_clearance < 4
     assert store.parameter_id({"a": 1, "b": 2}) == store.parameter_id({"b": 2, "a": 1})
     assert [store.worker_plan(12, 4, 262144, 350), store.worker_plan(12, 100, 8192, 350), store.worker_plan(12, 100, 262144, 350), store.worker_plan(12, 8, 0, 350)] == [4, 7, 12, 1]
 
