@@ -138,6 +138,23 @@ def test_lines_on_planted_rows(spark):
     assert dropped_lines(df.limit(0)).count() == 0
 
 
+def test_lines_with_long_shared_tokens(spark):
+    """Similar lines of many words whose shared text lies inside long tokens."""
+    rng = random.Random(6)
+    number = lambda: str(rng.randrange(10**4, 10**5))
+    rows = []
+    for i in range(40):
+        token = "".join(rng.choice("abcdefghijklmnop/") for _ in range(900))
+        signs = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(900))
+        rows += [(4 * i + k, " ".join(number() for _ in range(14)) + " " + token) for k in range(2)]
+        rows += [(4 * i + k, "".join(f"{number()} {signs[60 * j : 60 * j + 60]} " for j in range(15))) for k in (2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = brute_dropped(rows)
+    got = {r.doc_id: r.dropped for r in dropped_lines(df).collect()}
+    assert len(truth) > 30 and set(got) <= set(truth)
+    assert len(got) >= 0.95 * len(truth)
+
+
 def test_lines_on_the_table(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     truth = brute_dropped(rows)
