@@ -288,3 +288,17 @@ def set_task_difference(spark, sf_dir):
     s = view(spark, sf_dir, "v_segments").select("field_id", "row_index", "piece")
     single = s.groupBy("field_id", "row_index").agg(F.min("piece").alias("piece"), F.count("*").alias("n")).where("n = 1").select("field_id", "row_index", "piece")
     return s.exceptAll(single)
+
+
+@query()
+def geo_spatial_order(spark, sf_dir):
+    """Place of every region of every field. Only distinct shapes are numbered in one task: by v_fields they repeat every
+    480 fields; regions of one shape are numbered by field. The SQL stops at field 49 and so says less."""
+    return run(
+        spark,
+        sf_dir,
+        """WITH g AS (SELECT field_id, region_id, x0, y0, (x1 - x0) * (y1 - y0) AS area FROM {v_regions}), n AS (SELECT x0, y0, area, count(*) AS n FROM g GROUP BY x0, y0, area),
+        o AS (SELECT x0, y0, area, sum(n) OVER (ORDER BY x0, y0, -area) - n AS before FROM n)
+        SELECT g.field_id, g.region_id, CAST(o.before + row_number() OVER (PARTITION BY g.x0, g.y0, g.area ORDER BY g.field_id, g.region_id) AS INT) AS place
+        FROM g JOIN o ON o.x0 = g.x0 AND o.y0 = g.y0 AND o.area = g.area""",
+    )
