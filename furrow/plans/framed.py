@@ -302,3 +302,23 @@ def geo_spatial_order(spark, sf_dir):
         SELECT g.field_id, g.region_id, CAST(o.before + row_number() OVER (PARTITION BY g.x0, g.y0, g.area ORDER BY g.field_id, g.region_id) AS INT) AS place
         FROM g JOIN o ON o.x0 = g.x0 AND o.y0 = g.y0 AND o.area = g.area""",
     )
+
+
+def _each_leg_from_its_own(text: str, at: int, start: str, end: str, old: str) -> str:
+    """The text with samples every `at` metres from start to end of each leg in place of those of a fixed range."""
+    if old not in text:
+        raise ValueError("the text has other samples")
+    return text.replace(old, f"e LATERAL VIEW explode(sequence(CAST(floor(({start}) / {at}) AS BIGINT), CAST(floor(({end}) / {at}) AS BIGINT))) k AS id WHERE k.id >= 0 AND ")
+
+
+@query()
+def win_local_speed_blocks(spark, sf_dir):
+    return run(spark, sf_dir, _each_leg_from_its_own(SHARED["win_local_speed_blocks"], 25, "e.till - e.len", "e.till", "e JOIN (SELECT * FROM range(0, 400) AS t(id)) k ON "))
+
+
+@query()
+def joi_asof_samples(spark, sf_dir):
+    text = """WITH e AS (SELECT chain, sequence, length, sum(length) OVER (PARTITION BY chain ORDER BY sequence) AS till FROM {v_legs}),
+        s AS (SELECT e.*, k.id AS sample, k.id * 40.0E0 AS at FROM SAMPLES k.id * 40 >= e.till - e.length AND k.id * 40 < e.till)
+        SELECT chain, sample, sequence, round((at - (till - length)) / length, 4) AS share FROM s"""
+    return run(spark, sf_dir, _each_leg_from_its_own(text, 40, "e.till - e.length", "e.till", "SAMPLES"))
