@@ -68,6 +68,26 @@ def test_quotes(spark):
     assert {r["count"] for r in twice} == {2}
 
 
+def test_partial_quotes(spark):
+    rows = [
+        (1, 0, "Plant in May.\nUse short rows.\nKeep the soil wet.\n\nCall me. Bring the long map! We meet at noon.\n\nGood luck."),
+        (1, 1, "> Use short rows.\n> Keep the soil wet.\nYes."),
+        (1, 2, "> Call me. Bring the long map! We meet at noon.\n>\n> Good luck.\nFine."),
+        (1, 3, "> bring the long map\nWhich?"),
+        (1, 4, "> Plant in May.\n> Keep the soil wet.\nNot one after the other."),
+        (1, 5, "> Use short rows.\n> Never said.\nNo."),
+        (2, 0, "> Only here later.\nWho?"),
+        (2, 1, "Only here later."),
+        (3, 0, "Only here later."),
+        (4, 0, "> Only here later.\nMe too."),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn) for r in link_quotes(df).collect()}
+    assert got[1, 1] == got[1, 2] == got[1, 3] == (1, 1, 0)
+    assert got[1, 4] == got[1, 5] == (0, None, None)
+    assert got[2, 0] == (1, 3, 0) and got[4, 0] == (1, 2, 1)
+
+
 def test_quotes_on_the_table(spark, small):
     rows = spark.read.parquet(f"{small}/conversations.parquet").collect()
     got = {(r.conv_id, r.turn): r for r in op8_quote_links(spark, small).collect()}
