@@ -15,6 +15,7 @@ the results are replaced. The benchmark is read in blocks of at most `BLOCK_BYTE
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -28,6 +29,7 @@ from furrow.llm.text_codes import with_scores
 PHRASE_WORDS = 10
 BLOCK_BYTES = 4_000_000
 SAMPLE_EVERY = 8
+OUT_COLS = ("n_words", "n_hit", "bench_items", "bench_spans")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 END = b"\x01"  # stands between documents; it is no word
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -229,8 +231,11 @@ def read_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     return [sc.broadcast(phrases_of([(r["item"], r["text"]) for r in rows.where(F.col("block") == k).collect()])) for k in range(n)]
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of `df`, and n_words, n_hit, bench_items (sorted ids) and bench_spans (to remove, in code points)."""
+def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", block_bytes: int = BLOCK_BYTES, out_cols: Sequence[str] = OUT_COLS) -> DataFrame:
+    """All columns of `df`, and n_words, n_hit, bench_items (sorted ids) and bench_spans (to remove, in code points).
+
+    `out_cols` names the four; they replace columns of the same name.
+    """
     shared = read_blocks(benchmark, item_col, bench_text_col, block_bytes)
 
     def score(_, texts):
@@ -238,7 +243,8 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "tex
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)
 
-    return with_scores(df, text_col, "n_words long, n_hit long, bench_items array<string>, bench_spans array<struct<start:int,end:int>>", score, None)
+    kinds = ("long", "long", "array<string>", "array<struct<start:int,end:int>>")
+    return with_scores(df, text_col, ", ".join(f"`{n}` {k}" for n, k in zip(out_cols, kinds, strict=True)), score, None)
 
 
 def without_spans(text: Column, spans: Column) -> Column:

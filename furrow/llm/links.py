@@ -1,6 +1,6 @@
 """Classes of similar items from bucketed candidates, with no group in one task and no lost link.
 
-`classes` takes bucket memberships and a function that gives the sets of items, and returns the connected components of
+`classes` takes bucket memberships and a function that gives the contents of items, and returns the connected components of
 pairs whose Jaccard distance, which is a metric, is within a bound. A bucket isn't expanded into all its pairs:
 
 1. Each member is measured against one hub of its bucket. Pairs within the threshold are links.
@@ -16,34 +16,23 @@ folder, so a lost executor costs a part of one round.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.graph import cut, gathered, linked, ordered_pair, stored
+
 HUB_ROUNDS = 2
 #: Items of a side of a block.
 BLOCK = 64
 #: A table of at most so many narrow rows may be broadcast; a larger one is joined by shuffles.
 BROADCAST_ROWS = 400_000
 
-#: From (item) to (item, elements), the set of each item as an array without repeats.
-SetsOf = Callable[[DataFrame], DataFrame]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed and kept in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
-def gathered(df: DataFrame) -> DataFrame:
-    """`cut` for narrow rows of links and items: about two tasks a core write it, however many partitions made it."""
-    return cut(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
+#: From (item) to (item, content); `elements` below turns a content into the item's set, an array without repeats.
+ContentOf = Callable[[DataFrame], DataFrame]
+Elements = Callable[[Column], Column]
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -51,40 +40,10 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _pairs(x: str, y: str) -> list:
-    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(item, label) of all items of `links` (a, b), label being the least item that it is connected to.
-
-    Union by contraction: every item points to its least neighbour or stays, links are mapped to what their ends point
-    to, and links inside one group vanish, until none is left. After the first round "least" goes by a hash, so that
-    chains shrink by a share a round, on average, and stars vanish in two. Rounds are grouped
-    minima and joins; no neighbourhood meets in a task.
-    """
-    edges = gathered(links.where("a <> b").select(*_pairs("a", "b")).distinct())
-    labels, rounds = None, 0
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        key = (lambda c: F.struct(F.col(c).alias("i"))) if rounds == 0 else (lambda c: F.struct(F.xxhash64(F.lit(17), c).alias("h"), F.col(c).alias("i")))
-        up = both.groupBy(F.col("a").alias("item")).agg(F.min(key("b")).alias("m")).select("item", F.least(key("item"), "m")["i"].alias("up"))
-        ends = [up.select(F.col("item").alias(c), F.col("up").alias(f"{c}2")) for c in "ab"]
-        mapped = gathered(edges.join(ends[0], "a").join(ends[1], "b").where("a2 <> b2").select(*_pairs("a2", "b2")).distinct())
-        labels = gathered(up.withColumnRenamed("up", "label")) if labels is None else gathered(labels.join(up.select(F.col("item").alias("label"), "up"), "label", "left").select("item", F.coalesce("up", "label").alias("label")))
-        edges, rounds = mapped, rounds + 1
-        if edges.isEmpty():
-            break
-    if rounds == 1:
-        return labels
-    least = labels.groupBy("label").agg(F.min("item").alias("least"))
-    return gathered(labels.join(least, "label").select("item", F.col("least").alias("label")))
-
-
 def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
     """`comps` (item, label) after the links `more` (a, b) between its items."""
     ends = [comps.select(F.col("item").alias(c), F.col("label").alias(f"{c}2")) for c in "ab"]
-    merged = components(more.join(ends[0], "a").join(ends[1], "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")))
+    merged = linked(more.join(ends[0], "a").join(ends[1], "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")))
     return gathered(comps.join(merged.select(F.col("item").alias("label"), F.col("label").alias("to")), "label", "left").select("item", F.coalesce("to", "label").alias("label")))
 
 
@@ -93,11 +52,12 @@ def _distance(x, y):
     return 1 - common / (F.size(x) + F.size(y) - common)
 
 
-def measured(pairs: DataFrame, sets_of: SetsOf) -> DataFrame:
+def measured(pairs: DataFrame, content_of: ContentOf, elements: Elements) -> DataFrame:
     """(a, b, distance) of pairs (a, b): 1 less the exact Jaccard similarity of their sets."""
     pairs = gathered(pairs)
-    sets = sets_of(gathered(pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()))
-    both = pairs.join(sets.select(F.col("item").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("item").alias("b"), F.col("elements").alias("y")), "b")
+    contents = content_of(gathered(pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()))
+    both = pairs.join(contents.select(F.col("item").alias("a"), F.col("content").alias("x")), "a").join(contents.select(F.col("item").alias("b"), F.col("content").alias("y")), "b")
+    both = both.select("a", "b", elements(F.col("x")).alias("x"), elements(F.col("y")).alias("y"))
     return both.select("a", "b", _distance(F.col("x"), F.col("y")).alias("distance"))
 
 
@@ -111,22 +71,23 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ways[0], ways[1]
 
 
-def links_between(left: DataFrame, right: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
+def links_between(left: DataFrame, right: DataFrame, content_of: ContentOf, elements: Elements, most: float) -> DataFrame:
     """Links (a, b) between all items of both sides of each arena, compared block by block inside a row."""
     left, right = gathered(left.distinct()), gathered(right.distinct())
-    sets = cut(sets_of(gathered(left.select("item").union(right.select("item")).distinct())))
-    blocks = [d.join(sets, "item").groupBy("arena", "l", "r").agg(F.collect_list(F.struct("item", "elements")).alias(n)) for d, n in zip(_sides(left, right), "xy", strict=True)]
+    contents = stored(content_of(gathered(left.select("item").union(right.select("item")).distinct())))
+    blocks = [d.join(contents, "item").groupBy("arena", "l", "r").agg(F.collect_list(F.struct("item", "content")).alias(n)) for d, n in zip(_sides(left, right), "xy", strict=True)]
     met = blocks[0].join(blocks[1], ["arena", "l", "r"])
+    met = met.select(*(F.transform(n, lambda i: F.struct(i["item"].alias("item"), elements(i["content"]).alias("elements"))).alias(n) for n in "xy"))
     found = F.flatten(F.transform("x", lambda x: F.transform(F.filter("y", lambda y: (x["item"] != y["item"]) & (_distance(x["elements"], y["elements"]) <= most)), lambda y: F.struct(x["item"].alias("x"), y["item"].alias("y")))))
-    return met.select(F.explode(found).alias("f")).select(*_pairs("f.x", "f.y")).distinct()
+    return met.select(F.explode(found).alias("f")).select(*ordered_pair("f.x", "f.y")).distinct()
 
 
-def classes(members: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
+def classes(members: DataFrame, content_of: ContentOf, most: float, elements: Elements = lambda content: content) -> DataFrame:
     """(item, label) of all items of `members`; label is the least item of the class. members: (bucket, item), distinct; most: the largest distance of a link."""
     members = gathered(members)
     hubs = members.groupBy("bucket").agg(F.min("item").alias("hub"))
-    tested = first = gathered(measured(members.join(hubs, "bucket").where("item <> hub").select(*_pairs("item", "hub")).distinct(), sets_of))
-    found = components(tested.where(F.col("distance") <= most).select("a", "b"))
+    tested = first = gathered(measured(members.join(hubs, "bucket").where("item <> hub").select(*ordered_pair("item", "hub")).distinct(), content_of, elements))
+    found = linked(tested.where(F.col("distance") <= most).select("a", "b"))
     comps = gathered(members.select("item").distinct().join(found, "item", "left").select("item", F.coalesce("label", "item").alias("label")))
     for k in range(HUB_ROUNDS):
         open_ = gathered(open_buckets(members, comps))
@@ -135,8 +96,8 @@ def classes(members: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
         # a member of the bucket's largest component, drawn by a hash of this round, against one of each other component
         picked = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(k), "bucket", "item").alias("d"), "item")).alias("p")).select("bucket", "n", "comp", F.col("p.item").alias("item"))
         hub = picked.groupBy("bucket").agg(F.max(F.struct("n", "comp", "item")).alias("p")).select("bucket", F.col("p.item").alias("hub"))
-        pairs = picked.join(hub, "bucket").where("item <> hub").select(*_pairs("item", "hub")).distinct()
-        fresh = gathered(measured(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets_of))
+        pairs = picked.join(hub, "bucket").where("item <> hub").select(*ordered_pair("item", "hub")).distinct()
+        fresh = gathered(measured(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), content_of, elements))
         tested = tested.union(fresh)
         more = fresh.where(F.col("distance") <= most).select("a", "b")
         if not more.isEmpty():
@@ -158,7 +119,7 @@ def classes(members: DataFrame, sets_of: SetsOf, most: float) -> DataFrame:
     among = minor.select(F.col("bucket").alias("arena"), "item")
     several = among.groupBy("arena").agg(F.count("*").alias("n")).where("n > 1").select("arena")
     among = gathered(among.join(several, "arena", "left_semi"))
-    more = links_between(close, core, sets_of, most).union(links_between(among, among, sets_of, most))
+    more = links_between(close, core, content_of, elements, most).union(links_between(among, among, content_of, elements, most))
     more = gathered(more.distinct())
     return comps if more.isEmpty() else joined(comps, more)
 
@@ -171,6 +132,9 @@ def open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def crowded(bands: DataFrame) -> DataFrame:
-    """Distinct (bucket, item) of the buckets with two items or more."""
-    full = bands.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("bucket")
+    """(bucket, item) of the buckets with two items or more; bands: (bucket, item), distinct.
+
+    Buckets are counted by their hashes alone before items are joined to them.
+    """
+    full = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     return bands.join(full, "bucket").select("bucket", "item")

@@ -10,8 +10,10 @@ links. A class is a connected component.
 
 Words are runs of letters, marks and digits, in lower case. Documents of fewer than 5 words, but not none, are one
 shingle. Texts with equal words form a group first, so copies cost one sketch each and no pair. Texts without a word
-are copies only of equal texts. A null text or a null id is a class of its own (class_id is the id). Repeated rows
-give repeated rows. Other columns are not read. An empty table gives an empty result.
+are copies only of equal texts. A null text or a null id is a class of its own (class_id is the id). Rows of one id with
+different texts are different documents; repeated rows give repeated rows. Very long texts are read whole, in arrays
+that grow with their length. Other columns are not read. An empty table gives an empty result. The functions run many
+Spark jobs while the result is being built.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from furrow.llm.links import classes, crowded, cut, small_side
-from furrow.llm.text_codes import Words, runs
+from furrow.llm.links import classes, crowded, small_side
+from furrow.llm.text_codes import Words, fresh, runs
+from furrow.operators.graph import cut, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -144,42 +148,90 @@ def elements(texts: list[str]) -> list[np.ndarray]:
 
 
 def _sketch(df: DataFrame) -> DataFrame:
+    """(id, t1, t2, key, bands) of rows (id, t1, t2, text)."""
+
     def run(batches):
         for batch in batches:
-            for lo, texts in runs(batch.column(1).to_pylist()):
+            for lo, texts in runs(batch.column(3).to_pylist()):
                 keys, bands = sketches(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "bands"])
+                same = [batch.column(k).slice(lo, len(texts)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "t1", "t2", "key", "bands"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, key binary, bands array<long>")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, t1 long, t2 long, key binary, bands array<long>")
 
 
 def _elements(df: DataFrame) -> DataFrame:
+    """(item, content) of rows (item, text)."""
+
     def run(batches):
         for batch in batches:
             for lo, texts in runs(batch.column(1).to_pylist()):
                 made = pa.array(elements(texts), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), made], ["item", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), made], ["item", "content"])
+
+    return df.mapInArrow(run, "item long, content array<long>")
 
-    return df.mapInArrow(run, f"item {df.schema['id'].dataType.simpleString()}, elements array<long>")
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t1, t2, text): a row is known by its id and a 128-bit hash of its text."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
+
+
+def _classed(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, t1, t2, label) without null ids and texts, and (label, first), first being the least (id, t1, t2) of a class."""
+    known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    sketched = stored(_sketch(known))
+    # one representative of each word sequence; numbered, since an id may stand for several texts
+    groups = sketched.groupBy("key").agg(F.min(F.struct("id", "t1", "t2", "bands")).alias("m")).select("key", "m.id", "m.t1", "m.t2", "m.bands")
+    groups = stored(groups.withColumn("item", F.monotonically_increasing_id()))
+    members = crowded(groups.select("item", F.explode(F.array_distinct("bands")).alias("bucket")))
+
+    def content_of(items: DataFrame) -> DataFrame:
+        wanted = groups.select("item", "id", "t1", "t2").join(small_side(items, items.count()), "item")
+        found = known.join(small_side(wanted, wanted.count()), ["id", "t1", "t2"])
+        return _elements(found.groupBy("item").agg(F.min("text").alias("text")))
+
+    comps = classes(members, content_of, 1 - similarity + 1e-12)
+    found = cut(groups.select("item", "key", "id", "t1", "t2").join(comps, "item", "left").select("key", F.coalesce("label", "item").alias("label"), F.struct("id", "t1", "t2").alias("first")))
+    rows = sketched.select("id", "t1", "t2", "key").join(found.select("key", "label"), "key").drop("key")
+    return rows, found.groupBy("label").agg(F.min("first").alias("first"))
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """`id_col` and class_id, the least id of the class, for every row."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    sketched = cut(_sketch(known))
-    # one representative of each word sequence
-    groups = cut(sketched.groupBy("key").agg(F.min(F.struct("id", "bands")).alias("m")).select("key", F.col("m.id").alias("item"), F.col("m.bands").alias("bands")))
-    bands = groups.select(F.explode("bands").alias("bucket"), "item")
-    members = crowded(bands).distinct()
-
-    def sets_of(items: DataFrame) -> DataFrame:
-        wanted = small_side(items.select(F.col("item").alias("id")), items.count())
-        # a repeated id may stand for several texts: take the one of the least text
-        return _elements(known.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-
-    comps = classes(members, sets_of, 1 - similarity + 1e-12)
-    found = groups.select("key", "item").join(comps, "item", "left").select("key", F.coalesce("label", "item").alias("class_id"))
-    out = sketched.select("id", "key").join(found, "key").select(F.col("id").alias(id_col), "class_id")
+    docs = _rows(df, id_col, text_col)
+    rows, firsts = _classed(docs, similarity)
+    out = rows.join(firsts, "label").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"))
     alone = docs.where(F.col("id").isNull() | F.col("text").isNull()).select(F.col("id").alias(id_col), F.col("id").alias("class_id"))
     return out.union(alone)
+
+
+def one_of_each_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `df` that stay if one of each class does: that of the least (id, text hash).
+
+    Rows with a null id or text all stay. Of rows that repeat an id and its text one stays, the least by the other
+    columns (of those that can be compared).
+    """
+    columns = df.columns
+    id_, t1, t2 = (fresh(df, f"class_{c}") for c in ("id", "t1", "t2"))
+    text = F.col(text_col).cast("string")
+    keyed = df.withColumns({id_: F.col(id_col), t1: F.xxhash64(text), t2: F.xxhash64(F.lit(7), text)})
+    firsts = cut(_classed(_rows(df, id_col, text_col), similarity)[1].select(F.col("first.id").alias(id_), F.col("first.t1").alias(t1), F.col("first.t2").alias(t2)))
+    known = keyed.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    kept = known.join(small_side(firsts, firsts.count()), [id_, t1, t2], "left_semi")
+    twice = cut(known.groupBy(id_, t1, t2).agg(F.count("*").alias("n")).where("n > 1").select(id_, t1, t2))
+    n = twice.count()
+    alone = df.where(F.col(id_col).isNull() | F.col(text_col).isNull())
+    if n == 0:
+        return kept.select(*columns).union(alone)
+    once = kept.join(small_side(twice, n), [id_, t1, t2], "left_anti").select(*columns)
+    repeated = kept.join(small_side(twice, n), [id_, t1, t2], "left_semi")
+    order = F.struct(*(F.col(f"`{c}`") if not _has_map(df.schema[c].dataType) else F.to_json(F.col(f"`{c}`")).alias(c) for c in columns))
+    whole = repeated.groupBy(id_, t1, t2).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in columns)), order).alias("row")).select("row.*")
+    return once.union(whole).union(alone)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, (T.MapType, T.VariantType)) or any(map(_has_map, inner))

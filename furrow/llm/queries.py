@@ -12,7 +12,7 @@ from furrow.llm.bpe import bpe_encode
 from furrow.llm.decontamination import find_contamination
 from furrow.llm.html_blocks import extract_main_text, fit_labeller
 from furrow.llm.language_id import fit_languages, predict_languages
-from furrow.llm.line_dedup import dropped_lines
+from furrow.llm.line_dedup import marked_lines
 from furrow.llm.near_duplicates import near_duplicate_classes
 from furrow.llm.quote_links import link_quotes
 from furrow.llm.text_codes import held_out
@@ -84,8 +84,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, from 0, of the lines that every document loses."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = dropped_lines(docs).withColumnRenamed("doc_id", "id")
-    out = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")).join(gone, F.col("doc_id") == F.col("id"), "left")
+    out = marked_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")))
     lost = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
     return out.select("doc_id", "n_lines", (F.col("n_lines") - lost).alias("n_kept"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 

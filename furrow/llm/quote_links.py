@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.links import cut
+from furrow.operators.graph import cut
 
 _MARKS = r"^((?:[ \t]*>)+)"
 _SENTENCE_ENDS = r"\n|(?<=[.!?])\s+|(?<=[。！？])"

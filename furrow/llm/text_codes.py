@@ -69,6 +69,14 @@ def runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
             lo, size = i + 1, 0
 
 
+def fresh(df: DataFrame, name: str, *taken: str) -> str:
+    """`name`, with underscores behind it while `df` or `taken` has a column of that name."""
+    used = {c.lower() for c in (*df.columns, *taken)}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
