@@ -6,9 +6,9 @@ from collections import Counter
 import numpy as np
 
 from furrow.llm.line_dedup import deduplicate_lines, dropped_lines
-from furrow.llm.links import components
-from furrow.llm.near_duplicates import dart_signatures, near_duplicate_classes, scramble
+from furrow.llm.near_duplicates import dart_signatures, near_duplicate_classes, one_of_each_class, scramble
 from furrow.llm.queries import op4_near_duplicates, op10_line_dedup
+from furrow.operators.graph import linked as components
 
 
 class Union:
@@ -174,3 +174,36 @@ def test_texts_without_any_word(spark):
     df = spark.createDataFrame([(1, ""), (2, ""), (3, "?"), (4, None)], "doc_id long, text string").coalesce(1)
     assert {r.doc_id: r.class_id for r in near_duplicate_classes(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     assert dropped_lines(df).count() == 0
+
+
+def test_rows_of_one_id(spark):
+    """Different texts of one id are different rows; equal rows are one."""
+    rows = [(1, "A line\nShared", "x"), (1, "Shared\nB line", "y"), (1, "Shared\nB line", "y"), (2, "shared ", "z"), (None, "Shared", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line_id string")
+    out = sorted((r.doc_id or 0, r.text, r.line_id) for r in deduplicate_lines(df).collect())
+    kept = [t for i, t, _ in out if i]
+    assert sum(t.count("A line") for t in kept) == 1 and sum("B line" in t for t in kept) == 2
+    assert {t.lower().count("shared") for t in kept} == {0, 1} and out[0] == (0, "Shared", "n")
+    texts = ["one two three four five six", "six five four three two one", "One two three four five six!", "one two three four five six"]
+    df = spark.createDataFrame([(1, texts[0], "b"), (1, texts[1], "b"), (0, texts[2], "b"), (1, texts[3], "a"), (1, texts[1], "a"), (None, texts[0], "q"), (3, None, "q"), (3, None, "q")], "doc_id long, text string, class_id string")
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "", r.class_id) for r in one_of_each_class(df).collect())
+    assert kept == sorted([(0, texts[2], "b"), (1, texts[1], "a"), (-1, texts[0], "q"), (3, "", "q"), (3, "", "q")])
+    got = sorted(tuple(-1 if x is None else x for x in (r.doc_id, r.class_id)) for r in near_duplicate_classes(df).collect())
+    assert got == sorted([(1, 0), (1, 1), (0, 0), (1, 0), (1, 1), (-1, -1), (3, 3), (3, 3)])
+
+
+def test_very_long_lines_and_texts(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh \U0001f600") for _ in range(400_000))
+    words = " ".join(rng.choice(["ab", "cd", "ef", "gh"]) + str(rng.randrange(10**6)) for _ in range(150_000))
+    df = spark.createDataFrame([(1, long), (2, long[:-40]), (3, words), (4, words + " and more")], "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in dropped_lines(df).collect()} == {2: [0], 4: [0]}
+    assert {r.doc_id: r.class_id for r in near_duplicate_classes(df.where("doc_id > 2")).collect()} == {3: 3, 4: 3}
+
+
+def test_one_group_of_a_third_of_all_lines(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(150)).strip() + "x"
+    rows = [(i, (base[: 20 + i % 100] + "#" + base[21 + i % 100 :]) if i % 3 == 0 else "".join(rng.choice("klmnopqrst ") for _ in range(80))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in dropped_lines(df).collect()} == brute_dropped(rows)
