@@ -8,7 +8,9 @@ costing the square of its length.
 
 Nulls are read as empty texts and give no ids; an empty text decodes to an empty text. Rows are independent: repeated
 ids and texts each give their own row. An empty table gives an empty result. Other columns are not read, so their
-names cannot clash. Code points assigned after Unicode 15 may be split in another way than by the library.
+names cannot clash. Every code point is split
+and lower-cased as by the library (`tokenizer_files` lists where Python's tables are of other Unicode versions). Words of
+any length are merged whole.
 """
 
 from __future__ import annotations

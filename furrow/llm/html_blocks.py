@@ -4,13 +4,16 @@ A page is cut into leaf blocks: runs of text between block-level tags. Each bloc
 and the words of class, id and role), of its hashed words, and of a few sizes. A bidirectional LSTM in numpy reads the
 blocks of a page in order, so that every label depends on the whole page, and says which blocks are the article.
 
-Nothing is hand-labelled. The labeller is fitted on a bounded sample: `FIT_PAGES` pages whose own markup names the
-article, and as many made-up layouts with menus, banners, sidebars, notices, adverts, forms and reader comments in many
-spellings, filled with words of the sampled pages. It is then applied to every page, from its whole html.
+Nothing is hand-labelled. The labeller is fitted on a bounded sample: about `FIT_PAGES` pages, of which those count whose
+own markup names the article, and `FIT_PAGES` made-up layouts with menus, banners, sidebars, notices, adverts, forms and
+reader comments, filled with words of the sampled pages. `UNNAMED` of the made-up parts bear meaningless class names, so
+that labels also rest on tags, links, sizes, words and neighbours. It is then applied to every page, from its whole
+html; all words of a block are read.
 
 Text of script, style and template is never a block. Character references are decoded, white space in a block becomes
-one space, blocks are trimmed and joined by a line break. Null and empty html give an empty text. Rows are independent;
-columns named like the result are replaced.
+one space, blocks are trimmed and joined by a line break. A tag that isn't closed by the end of the page ends the page. Very
+long pages and deep nesting take time in proportion to their length. Null and empty html give an empty text. Rows are
+independent, so repeated rows repeat; columns named like the result are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from furrow.llm.text_codes import with_scores
 FIT_PAGES = 300
 PATH, WORDS, SIZES, HIDDEN = 128, 32, 4, 24
 EPOCHS, BATCH, RATE = 12, 30, 0.01
+#: Share of made-up parts with meaningless names.
+UNNAMED = 0.35
 
 #: Tags that begin or end a block, tags without content, tags whose content is no text.
 BLOCK_TAGS = frozenset(
@@ -46,86 +51,166 @@ RAW_TAGS = frozenset("script style template".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPH_ENDS = BLOCK_TAGS - {"button", "label", "option", "optgroup", "select", "textarea", "legend"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Names that pages give to what is not the article, for made-up layouts and for reading markup.
+OTHER_NAMES = {
+    "nav": "nav navbar navigation menu topnav mainmenu breadcrumb breadcrumbs tabs pagination pager toc links",
+    "header": "header masthead banner topbar site branding logo head top",
+    "footer": "footer foot bottom copyright colophon legal sitefooter imprint",
+    "aside": "sidebar aside related widget side rail recommended trending popular promo more",
+    "notice": "cookie cookies consent notice alert popup modal newsletter subscribe gdpr message banner overlay signup",
+    "ad": "ad ads advert advertisement sponsored sponsor promo promotion banner adsense",
+    "form": "form search login signup contact subscribe newsletter",
+    "comments": "comments comment replies discussion disqus reply responses thread respond",
+    "share": "share social sharing tags meta byline toolbar",
+}
+MAIN_NAMES = "article content post entry story main body text maincontent".split()
+NOT_MAIN = frozenset(w for k, v in OTHER_NAMES.items() for w in v.split() if w not in ("main", "top", "head", "site", "side", "more", "text", "message", "thread")) | {"nav", "footer", "aside", "form", "button", "select", "option", "textarea", "label", "title", "dialog"}
+
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)", re.S)
+#: Attributes up to the end of the tag; a quote counts only behind an equals sign, and only if it is closed.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'))?+)*+)>", re.S)
+_NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path of tags and names, text, share of linked text) of each block that isn't empty, in page order."""
-    out, stack, parts, linked, raw = [], [], [], 0, None
+@dataclass
+class Block:
+    path: np.ndarray  # bool, PATH: which slots of tag and class names are open
+    text: str
+    linked: float  # share of linked text
+    main: bool  # inside an article or main part, and in nothing of it that has another name
+    title: bool  # the page's title
+
+
+class _Open:
+    """The open tags of a page, with what holds for all of them kept up to date as tags open and close."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+        self.outer: list[int] = []  # places of block tags other than div and p
+        self.slots = [0] * PATH
+        self.main_at, self.other, self.titles = -1, 0, 0
+
+    def push(self, tag: str, names: list[str]) -> None:
+        at, slots, other = len(self.stack), [], False
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK_TAGS:
+            if tag not in ("div", "p"):
+                self.outer.append(at)
+            parts = [tag, *names]
+            slots = [_slot(n, PATH) for n in parts]
+            for k in slots:
+                self.slots[k] += 1
+            self.titles += "title" in parts
+            if self.main_at < 0 and ("article" in parts or "main" in parts):
+                self.main_at = at
+            if self.main_at >= 0 and not NOT_MAIN.isdisjoint(parts):
+                other = True
+                self.other += 1
+        self.stack.append((tag, slots, other, "title" in names or tag == "title"))
+
+    def pop(self) -> bool:
+        """Closes the innermost tag; says whether it bounds a block."""
+        tag, slots, other, title = self.stack.pop()
+        at = len(self.stack)
+        self.places[tag].pop()
+        if self.outer and self.outer[-1] == at:
+            self.outer.pop()
+        for k in slots:
+            self.slots[k] -= 1
+        self.other -= other
+        self.titles -= title and tag in BLOCK_TAGS
+        if self.main_at == at:
+            self.main_at = -1
+        return tag in BLOCK_TAGS
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of a page that aren't empty, in page order, in one pass."""
+    out, open_, parts, linked = [], _Open(), [], 0
 
     def end() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(x for tag, names in stack for x in (tag, *names) if tag in BLOCK_TAGS)
-            out.append((path, text, min(1.0, linked / max(1, len(text)))))
+            out.append(Block(np.array(open_.slots) > 0, text, min(1.0, linked / max(1, len(text))), open_.main_at >= 0 and not open_.other, open_.titles > 0))
         parts.clear()
         linked = 0
 
     def close(k: int) -> None:
-        if any(tag in BLOCK_TAGS for tag, _ in stack[k:]):
+        if any(tag in BLOCK_TAGS for tag, *_ in open_.stack[k:]):
             end()
-        del stack[k:]
-
-    at = 0
-    while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
-                parts.append(m[0])
-                linked += len(m[0]) if any(t == "a" for t, _ in stack) else 0
+        while len(open_.stack) > k:
+            open_.pop()
+
+    at, size = 0, len(page)
+    while at < size:
+        if page[at] != "<" or not (at + 1 < size and (page[at + 1] in "!?/" or page[at + 1].isalpha())):
+            to = page.find("<", at + 1)
+            to = size if to < 0 else to
+            parts.append(page[at:to])
+            linked += to - at if open_.places.get("a") else 0
+            at = to
+            continue
+        m = _COMMENT.match(page, at)
+        if m:
+            at = m.end()
             continue
+        m = _TAG.match(page, at)
+        if m is None:
+            if page[at + 1] == "/" or page[at + 1].isascii():
+                break  # the tag isn't closed by the end of the page
+            parts.append("<")
+            at += 1
+            continue
+        at, tag = m.end(), m[2].lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
+            k = open_.last(tag)
+            if k >= 0:
                 close(k)
             continue
         if tag in RAW_TAGS:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            stop = _RAW_ENDS[tag].search(page, at)
+            at = stop.end() if stop else size
             continue
         if tag == "br":
             parts.append(" ")
         if tag in BLOCK_TAGS:
             end()
-            if tag in PARAGRAPH_ENDS:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if k is not None:
-                    close(k)
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK_TAGS and stack[i][0] not in ("div", "p")), None)
-            while k is not None and tag in CLOSES and stack[k][0] in CLOSES[tag]:
-                close(k)
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK_TAGS and stack[i][0] not in ("div", "p")), None)
+            if tag in PARAGRAPH_ENDS and open_.last("p") >= 0:
+                close(open_.last("p"))
+            while tag in CLOSES and open_.outer and open_.stack[open_.outer[-1]][0] in CLOSES[tag]:
+                close(open_.outer[-1])
         if tag not in VOID_TAGS and not m[3].endswith("/"):
-            names = [w for n in _NAMES.findall(m[3]) for w in _WORD.findall(n.lower())]
-            stack.append((tag, names))
-    stack_end = len(stack)
-    if stack_end:
+            open_.push(tag, [w for n in _NAMES.findall(m[3]) for w in _WORD.findall(n.lower())])
+    if open_.stack:
         close(0)
     end()
     return out
 
 
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW_TAGS}
+
+
 @lru_cache(maxsize=200_000)
 def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
-def features(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def features(blocks: list[Block]) -> np.ndarray:
     """(blocks, PATH + WORDS + SIZES) vectors."""
     x = np.zeros((len(blocks), PATH + WORDS + SIZES), np.float32)
-    for i, (path, text, linked) in enumerate(blocks):
-        for name in path:
-            x[i, _slot(name, PATH)] = 1
-        words = text.lower().split()
-        for w in words[:: max(1, len(words) // 50)]:
-            x[i, PATH + _slot(w, WORDS)] += 1
-        x[i, PATH : PATH + WORDS] /= max(1.0, np.sqrt((x[i, PATH : PATH + WORDS] ** 2).sum()))
-        x[i, -SIZES:] = (np.log1p(len(words)) / 5, linked, i / len(blocks), text[-1] in ".!?…")
+    for i, b in enumerate(blocks):
+        x[i, :PATH] = b.path
+        words = b.text.lower().split()
+        x[i, PATH : PATH + WORDS] = np.bincount([_slot(w, WORDS) for w in words], minlength=WORDS)
+        x[i, PATH : PATH + WORDS] /= np.sqrt((x[i, PATH : PATH + WORDS] ** 2).sum())
+        x[i, -SIZES:] = (np.log1p(len(words)) / 5, b.linked, i / len(blocks), b.text[-1] in ".!?…")
     return x
 
 
@@ -253,31 +338,12 @@ def label(model: BlockLabeller, pages: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-#: Names that pages give to what is not the article, for made-up layouts and for reading markup.
-OTHER_NAMES = {
-    "nav": "nav navbar navigation menu topnav mainmenu breadcrumb breadcrumbs tabs pagination pager toc links",
-    "header": "header masthead banner topbar site branding logo head top",
-    "footer": "footer foot bottom copyright colophon legal sitefooter imprint",
-    "aside": "sidebar aside related widget side rail recommended trending popular promo more",
-    "notice": "cookie cookies consent notice alert popup modal newsletter subscribe gdpr message banner overlay signup",
-    "ad": "ad ads advert advertisement sponsored sponsor promo promotion banner adsense",
-    "form": "form search login signup contact subscribe newsletter",
-    "comments": "comments comment replies discussion disqus reply responses thread respond",
-    "share": "share social sharing tags meta byline toolbar",
-}
-MAIN_NAMES = "article content post entry story main body text maincontent".split()
-NOT_MAIN = frozenset(w for k, v in OTHER_NAMES.items() for w in v.split() if w not in ("main", "top", "head", "site", "side", "more", "text", "message", "thread")) | {"nav", "footer", "aside", "form", "button", "select", "option", "textarea", "label", "title", "dialog"}
-
-
-def marked(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray | None:
+def marked(blocks: list[Block]) -> np.ndarray | None:
     """Labels that the page's own markup gives, if it names an article."""
-    if not any("article" in path or "main" in path for path, _, _ in blocks):
+    named = _slot("article", PATH), _slot("main", PATH)
+    if not any(b.path[k] for b in blocks for k in named) or not any(b.main for b in blocks):
         return None
-    out = []
-    for path, _, _ in blocks:
-        at = next((i for i, name in enumerate(path) if name in ("article", "main")), None)
-        out.append(at is not None and not NOT_MAIN & set(path[at:]))
-    return np.array(out, np.float32)
+    return np.array([b.main for b in blocks], np.float32)
 
 
 def made_up(rng: random.Random, words: list[str]) -> tuple[str, set[str]]:
@@ -296,8 +362,11 @@ def made_up(rng: random.Random, words: list[str]) -> tuple[str, set[str]]:
             out.append(f"<ul><li>{t}</li></ul>" if tag == "li" else f"<{tag}>{t}</{tag}>" if rng.random() < 0.9 or tag != "p" else f"<p><b>{t}<br>")
         return "".join(out)
 
+    def nonsense() -> str:
+        return "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4)))
+
     def named(kind: str, tag: str) -> str:
-        name = rng.choice(OTHER_NAMES[kind].split())
+        name = nonsense() if rng.random() < UNNAMED else rng.choice(OTHER_NAMES[kind].split())
         how = rng.choice([f' class="{name}"', f' id="{name}"', f' class="{name}-{rng.choice(["box", "wrap", "list", "inner"])}"', f' class="{rng.choice(["x", "col", "row"])} {name}"'])
         return f"{tag}{how}" if tag in ("div", "section", "ul", "p", "span", "form") or rng.random() < 0.4 else tag
 
@@ -318,7 +387,7 @@ def made_up(rng: random.Random, words: list[str]) -> tuple[str, set[str]]:
     title = text(5)
     main.add(" ".join(title.split()))
     shell = rng.choice(["article", "article", "main", "div", "section"])
-    name = "" if shell in ("article", "main") and rng.random() < 0.6 else f' class="{rng.choice(MAIN_NAMES)}"'
+    name = "" if shell in ("article", "main") and rng.random() < 0.6 else f' class="{nonsense() if rng.random() < UNNAMED else rng.choice(MAIN_NAMES)}"'
     inside = [f"<h1>{title}</h1>", *(prose(rng.randrange(1, 5)) for _ in range(rng.randrange(1, 4)))]
     for kind in ("ad", "share", "aside", "notice", "form", "comments"):
         if rng.random() < 0.25:
@@ -339,21 +408,21 @@ def fit_labeller(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_
     for h in sorted(r["h"] for r in some):
         blocks = blocks_of(h)
         y = marked(blocks)
-        vocabulary.update(w for _, t, _ in blocks[:40] for w in t.split()[:200])
+        vocabulary.update(w for b in blocks for w in b.text.split())
         if y is not None:
             examples.append((features(blocks), y))
     rng, words = random.Random(11), sorted(vocabulary) or "the of and to in is that for on with".split()
     for _ in range(fit_pages):
         page, main = made_up(rng, words)
         blocks = blocks_of(page)
-        examples.append((features(blocks), np.array([t in main and "title" not in p for p, t, _ in blocks], np.float32)))
+        examples.append((features(blocks), np.array([b.text in main and not b.title for b in blocks], np.float32)))
     return learn(examples)
 
 
 def extract(model: BlockLabeller, pages: list[str]) -> list[str]:
     blocks = [blocks_of(p) for p in pages]
     keep = label(model, [features(b) for b in blocks])
-    return ["\n".join(t for (_, t, _), k in zip(b, ks, strict=False) if k) for b, ks in zip(blocks, keep, strict=True)]
+    return ["\n".join(b.text for b, k in zip(page, ks, strict=False) if k) for page, ks in zip(blocks, keep, strict=True)]
 
 
 def extract_main_text(df: DataFrame, model: BlockLabeller, html_col: str = "html", out_col: str = "main_text") -> DataFrame:

@@ -1,14 +1,16 @@
 """Language ID by a mixture of languages in each document.
 
 Each word has a likelihood under each language, from smoothed counts of hashed character n-grams. Expectation-
-maximisation over a document's words gives the proportions of languages; the set of languages is the one of highest
-likelihood after a penalty for each further language. The prediction is the language of the largest proportion in
+maximisation over a document's words gives the proportions of all languages. The set of languages is chosen among the
+prefixes of the list of all learned languages by falling proportion: the one of highest likelihood, after some more steps
+over that set alone and a penalty of the logarithm of the words for each language. The prediction is the language of the largest proportion in
 that set, and the score its proportion.
 
 The n-gram tables are learned from a bounded sample: about `per_language` documents of each language, chosen by a hash
-of the id, held-out rows left out. Every document is predicted from its whole text. Null texts and texts without a
-letter are `und` with score 0; so is everything if no labelled row exists. Ties go to the language first by name.
-Rows are independent, so repeated rows repeat; columns named like the results are replaced.
+of the id, held-out rows left out. Every document is predicted from its whole text, very long ones too. Null texts and
+texts without a letter (marks alone are none) are `und` with score 0; so is everything if no labelled row exists. Ties go
+to the language first by name. Rows are independent, so repeated rows repeat; columns named like the results are
+replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.text_codes import Words, held_out, mix, runs, with_scores
+from furrow.llm.text_codes import Words, held_out, mix, runs, with_scores, word_table
 
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -28,7 +30,7 @@ ORDERS = (2, 3, 4)
 PER_LANGUAGE = 1200
 SMOOTHING = 0.5
 EM_STEPS = 8
-MOST_LANGUAGES = 3
+SET_STEPS = 2
 
 
 @dataclass
@@ -104,18 +106,20 @@ def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarr
     share, _ = _em(like, first, np.full((len(docs), n), 1 / n, np.float32), sizes, EM_STEPS)
     order = np.argsort(-share, axis=1, kind="stable")
     best, chosen = np.full(len(docs), -np.inf), share
-    for k in range(1, min(MOST_LANGUAGES, n) + 1):
+    for k in range(1, n + 1):
         mask = np.zeros((len(docs), n), np.float32)
         np.put_along_axis(mask, order[:, :k], 1, axis=1)
         start = share * mask + np.float32(1e-6) * mask
-        part, fit = _em(like, first, (start / start.sum(1, keepdims=True)).astype(np.float32), sizes, 2 if k > 1 else 0)
+        part, fit = _em(like, first, (start / start.sum(1, keepdims=True)).astype(np.float32), sizes, SET_STEPS if k > 1 else 0)
         value = fit - k * np.log(np.maximum(sizes, 2))
         better = value > best
         best = np.where(better, value, best)
         chosen = np.where(better[:, None], part, chosen)
     top = chosen.argmax(axis=1)
-    for d, j, s in zip(docs.tolist(), top.tolist(), chosen[np.arange(len(docs)), top].tolist(), strict=True):
-        names[d], score[d] = model.names[j], min(1.0, s)
+    lettered = np.logical_or.reduceat(word_table("L")[words.codes.astype(np.int64)], words.starts[first])
+    for d, j, s, known in zip(docs.tolist(), top.tolist(), chosen[np.arange(len(docs)), top].tolist(), lettered.tolist(), strict=True):
+        if known:
+            names[d], score[d] = model.names[j], min(1.0, s)
     return names, score
 
 

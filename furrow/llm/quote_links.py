@@ -11,22 +11,60 @@ are returned without quotes; by (conversation, thread, turn) a conversation read
 
 Common passages are reduced to their earliest message before the join, so that one of them can't multiply rows. Null
 texts are empty, have no quotes and originate none; rows with a null conversation or turn are kept, with no links.
-Repeated rows repeat. Quoted passages without a letter or digit link to nothing. Other columns are not read.
+Repeated rows repeat. Of several origins the least (conversation, turn) is taken. Quoted passages without a letter or
+digit link to nothing. Each message is parsed once, in time linear in its length. Other columns are not read, so their
+names cannot clash. An empty table gives an empty result. Spark jobs run while the result is being built.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from furrow.operators.graph import cut
+from furrow.operators.graph import cut, stored
 
-_MARKS = r"^((?:[ \t]*>)+)"
+_MARKS = re.compile(r"(?:[ \t]*>)+")
+_BREAK = re.compile(r"\r?\n")
 _SENTENCE_ENDS = r"\n|(?<=[.!?])\s+|(?<=[。！？])"
 
 
-def _level(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), "[^>]", ""))
+def parsed(text: str) -> tuple[str, list[dict]]:
+    """What a message says itself, and its quoted passages (level, text): runs of lines of one level."""
+    own, quotes, before = [], [], 0
+    for line in _BREAK.split(text) if ">" in text else [text.replace("\r\n", "\n")]:
+        m = _MARKS.match(line)
+        level = m[0].count(">") if m else 0
+        body = (line[m.end() :] if m else line).strip(" ")
+        if not level:
+            own.append(body)
+        elif level == before:
+            quotes[-1]["lines"].append(body)
+        else:
+            quotes.append({"level": level, "lines": [body]})
+        before = level
+    if ">" not in text:
+        own = [x.strip(" ") for x in own[0].split("\n")]
+    return "\n".join(own).strip(" \t\r\n"), [{"level": q["level"], "text": "\n".join(q["lines"])} for q in quotes]
+
+
+def parsed_messages(rows: DataFrame) -> DataFrame:
+    """`rows` with said and quotes array<struct<level, text>> in place of text."""
+    kinds = rows.drop("text").schema
+    place = rows.columns.index("text")
+    schema = T.StructType([*kinds.fields, *T.StructType.fromDDL("said string, quotes array<struct<level:int,text:string>>").fields])
+    quotes_kind = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())]))
+
+    def run(batches):
+        for batch in batches:
+            made = [parsed(t or "") for t in batch.column(place).to_pylist()]
+            same = [c for k, c in enumerate(batch.columns) if k != place]
+            yield pa.RecordBatch.from_arrays([*same, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], quotes_kind)], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def normalised(text: Column) -> Column:
@@ -34,19 +72,6 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def passages(text: Column) -> Column:
-    """array<struct<level, text>> of the runs of lines of one level; level 0 is what the message says itself."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.struct(_level(x).alias("level"), F.trim(F.regexp_replace(x, _MARKS, "")).alias("body")))
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, F.greatest(i - 1, F.lit(0)))["level"]))
-    return F.transform(
-        starts,
-        lambda s, k: F.struct(
-            F.get(lines, s)["level"].alias("level"),
-            F.array_join(F.transform(F.slice(lines, s + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s), lambda x: x["body"]), "\n").alias("text"),
-        ),
-    )
-
-
 def pieces_of(text: Column) -> Column:
     """The distinct normalised lines and sentences of a text that aren't empty."""
     return F.array_distinct(F.filter(F.transform(F.split(text, _SENTENCE_ENDS), normalised), lambda x: x != ""))
@@ -71,9 +96,7 @@ def held(parts: DataFrame, keyed: DataFrame, quoted: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, n_quotes, n_linked, reply_conv, reply_turn, thread_turn), one row a message."""
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text"))
-    parts = rows.select("conv_id", "turn", "role", "text", passages(F.col("text")).alias("parts"))
-    said = F.btrim(F.array_join(F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"]), "\n"), F.lit(" \t\r\n"))
-    parts = parts.select("conv_id", "turn", "role", "text", said.alias("said"), F.filter("parts", lambda p: p["level"] > 0).alias("quotes"))
+    parts = stored(parsed_messages(rows))
 
     # what messages say themselves, by hash, reduced to the earliest message
     pieces = F.array_distinct(F.transform(F.concat(F.array("said"), F.split("said", r"\n\s*\n"), F.split("said", "\n"), F.split("said", _SENTENCE_ENDS)), normalised))

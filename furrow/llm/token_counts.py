@@ -1,15 +1,16 @@
 """Token counts with a whole-token shortcut.
 
-Which vocabulary strings encode alone as one token is proved once, by encoding each string of the vocabulary that is
-a single pre-token. Pre-tokens that match such a string count as one without merging; only the others are merged, and
+Which vocabulary strings encode alone as one token is proved before any text is read, once a session and file, by
+encoding each string of the vocabulary that is a single pre-token. Pre-tokens that match such a string count as one without merging; only the others are merged, and
 each of them once per task while the memory lasts.
 
 Nulls count as empty texts (0 bytes, 0 tokens). Rows are independent, so repeated rows repeat. Other columns are not
-read. An empty table gives an empty result.
+read, so their names cannot clash. Very long words are merged whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -35,10 +36,15 @@ def whole_tokens(model: BpeModel) -> list[str]:
     return [w for w, ids in zip(names, encode_words(names, model), strict=True) if len(ids) == 1]
 
 
+@lru_cache(maxsize=4)
+def proven(path: str) -> list[str]:
+    return whole_tokens(load_model(path))
+
+
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, n_bytes long (UTF-8), n_tokens long of every whole text."""
     model = load_model(path)
-    shared = df.sparkSession.sparkContext.broadcast((model, whole_tokens(model)))
+    shared = df.sparkSession.sparkContext.broadcast((model, proven(path)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -27,6 +27,67 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(moved)) for b in range(256)]
 
 
+#: Letters and numbers of newer Unicode versions that the library's split still takes for unassigned.
+LATER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 "
+    "1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+#: First and last capital, and the first small letter, of pairs that the library knows and Python doesn't yet.
+LATER_CAPITALS = (
+    "1C89-1C89=1C8A A7CB-A7CB=264 A7CC-A7CC=A7CD A7CE-A7CE=A7CF A7D2-A7D2=A7D3 A7D4-A7D4=A7D5 A7DA-A7DA=A7DB A7DC-A7DC=19B "
+    "10D50-10D65=10D70 16EA0-16EB8=16EBB"
+)
+
+#: Combining marks of newer Unicode versions that don't move or compose in the library's normal form.
+LATER_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 "
+    "10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 "
+    "16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+
+
+def char_class(text: str) -> str:
+    """The character class of a list of code points and ranges in hexadecimal."""
+    ranges = (r.split("-") for r in text.split())
+    return "[" + "".join(f"\\U{int(r[0], 16):08x}-\\U{int(r[-1], 16):08x}" for r in ranges) + "]"
+
+
+#: The least code point of all these lists; a text below it needs none of them.
+FIRST_LATER = "\u0558"
+_LATER_SIGNS = regex.compile(char_class(f"{LATER_LETTERS} {LATER_NUMBERS}"))
+_BARRIER = regex.compile("(" + char_class(LATER_MARKS) + ")")
+
+
+def composed(text: str) -> str:
+    """NFC as the library has it: LATER_MARKS stand where they are, and what is around them is composed apart."""
+    if max(text, default="") < FIRST_LATER or not _BARRIER.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", part) for part in _BARRIER.split(text))
+
+
+def of_the_library(pattern: str) -> str:
+    """`pattern` with classes of letters and numbers as the library's Unicode version has them."""
+    own = {f"\\p{{{name}}}": f"[\\p{{{name}}}--{char_class(text)}]" for name, text in (("L", LATER_LETTERS), ("N", LATER_NUMBERS))}
+    return regex.sub(r"\\p\{[LN]\}", lambda m: own[m[0]], pattern)
+
+
+@lru_cache(maxsize=1)
+def later_capitals() -> dict[int, int]:
+    """Small letters of LATER_CAPITALS, for str.translate."""
+    out = {}
+    for part in LATER_CAPITALS.split():
+        span, small = part.split("=")
+        first, last = (int(x, 16) for x in span.split("-"))
+        out.update(zip(range(first, last + 1), range(int(small, 16), int(small, 16) + last - first + 1), strict=True))
+    return out
+
+
+_LATER = frozenset(map(chr, later_capitals()))
+
+
 @dataclass
 class BpeModel:
     """Vocabulary, merges and text rules of one tokenizer file."""
@@ -62,10 +123,12 @@ class BpeModel:
     def normalize(self, text: str) -> str:
         for kind, *args in self.normalizers:
             if kind == "NFC":
-                text = unicodedata.normalize("NFC", text)
+                text = composed(text)
             elif kind == "Lowercase":
                 # one character at a time: the library knows no final sigma
                 text = text.replace("Σ", "σ").lower()
+                if max(text, default="") >= FIRST_LATER and not _LATER.isdisjoint(text):
+                    text = text.translate(later_capitals())
             else:
                 text = regex.sub(args[0], args[1], text)
         return text
@@ -73,8 +136,10 @@ class BpeModel:
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text that holds no special string."""
         if "pattern" not in self._made:
-            self._made["pattern"] = regex.compile(self.pattern)
-        return self._made["pattern"].findall(self.normalize(text))
+            self._made["pattern"] = regex.compile(self.pattern), regex.compile(of_the_library(self.pattern), regex.V1)
+        text, (plain, exact) = self.normalize(text), self._made["pattern"]
+        later = max(text, default="") >= FIRST_LATER and _LATER_SIGNS.search(text)
+        return (exact if later else plain).findall(text)
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the merge table, or -1."""

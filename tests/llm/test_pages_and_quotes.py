@@ -1,17 +1,19 @@
 import random
+import time
+from collections import Counter
 
 import numpy as np
 
-from furrow.llm.html_blocks import blocks_of, extract, extract_main_text, features, fit_labeller, label, made_up, marked
-from furrow.llm.quote_links import link_quotes
+from furrow.llm.html_blocks import PATH, _slot, blocks_of, extract, extract_main_text, features, fit_labeller, label, made_up, marked
+from furrow.llm.quote_links import link_quotes, parsed
 from furrow.llm.queries import op8_quote_links, op9_html_extraction
 
 
 def test_blocks():
     page = '<html><head><title>T</title><script>var a="</p><p>no"</script></head><body><p>a &amp; b<br>c<p>d <b>e</b>f</div><!-- x --><ul><li>1<li>2</ul><div class="Ad-box" title="a>b">q</div>tail &lt;p&gt; < 3'
     got = blocks_of(page)
-    assert [t for _, t, _ in got] == ["T", "a & b c", "d ef", "1", "2", "q", "tail <p> < 3"]
-    assert got[5][0][-3:] == ("div", "ad", "box") and blocks_of("") == []
+    assert [b.text for b in got] == ["T", "a & b c", "d ef", "1", "2", "q", "tail <p> < 3"]
+    assert all(got[5].path[_slot(n, PATH)] for n in ("div", "ad", "box")) and got[0].title and blocks_of("") == []
     assert blocks_of("<script>never closed") == [] and blocks_of("<!-- open")== []
 
 
@@ -21,18 +23,64 @@ def test_pages_against_markup_and_made_up(spark, small):
     assert len(got) == len(rows)
     for r in rows:
         b = blocks_of(r.html)
-        text = "\n".join(t for (_, t, _), y in zip(b, marked(b)) if y)
+        text = "\n".join(x.text for x, y in zip(b, marked(b)) if y)
         assert got[r.page_id].text == text and got[r.page_id].n_chars == len(text) and got[r.page_id].url == r.url
     model = fit_labeller(spark.read.parquet(f"{small}/pages.parquet"))
     rng, wrong, total = random.Random(5), 0, 0
     for _ in range(200):
         page, main = made_up(rng, "walk river stone light the of and in green house".split())
         b = blocks_of(page)
-        y = np.array([t in main and "title" not in p for p, t, _ in b])
+        y = np.array([x.text in main and not x.title for x in b])
         wrong, total = wrong + (label(model, [features(b)])[0] != y).sum(), total + len(y)
     assert wrong < 0.04 * total
 
 
+def words_f1(got, want):
+    both = sum((Counter(got.split()) & Counter(want.split())).values())
+    return 2 * both / max(1, len(got.split()) + len(want.split()))
+
+
+#: Written by hand, in layouts that the made-up pages don't have; no part bears a name that training knows.
+HAND = [
+    (
+        "<html><head><title>Ice</title></head><body><table><tr><td><a href=/>Home</a></td><td><a href=/n>News</a></td></tr></table>"
+        "<div class='kolo'><h1>Ice on the lake holds until March</h1><p>The keeper of the lake walked over the ice at noon and drilled nine holes, each a hand deep.</p>"
+        "<p>Skaters may come at dawn, she said, as long as the wind stays in the north and the nights stay cold.</p></div>"
+        "<div class='zuro'><ul><li><a href=/1>More ice</a></li><li><a href=/2>More snow</a></li></ul></div><footer>Lake office, all rights reserved</footer></body></html>",
+        "Ice on the lake holds until March The keeper of the lake walked over the ice at noon and drilled nine holes, each a hand deep. "
+        "Skaters may come at dawn, she said, as long as the wind stays in the north and the nights stay cold.",
+    ),
+    (
+        "<body><nav><a href=a>Start</a> <a href=b>Maps</a></nav><section><h2>How to mend a net</h2><p>Lay the net flat on a dry board and find the torn meshes before you cut any thread.</p>"
+        "<blockquote>A net forgets nothing, my uncle used to say while he knotted.</blockquote><p>Knot from the left to the right, keep the same gauge, and wet the twine first.</p></section>"
+        "<form action=/s><label>Your mail</label><input><button>Send</button></form><footer><p>Imprint</p></footer></body>",
+        "How to mend a net Lay the net flat on a dry board and find the torn meshes before you cut any thread. A net forgets nothing, my uncle used to say while he knotted. "
+        "Knot from the left to the right, keep the same gauge, and wet the twine first.",
+    ),
+    (
+        "<body><header><a href=/>The Daily Field</a></header><main><h1>Rain at last</h1><p>After nine dry weeks the first rain fell on the eastern farms on Sunday night.</p>"
+        "<p>Farmers opened the gates of the old canals and let the water run to the lower rows.</p><aside><a href=/x>Read about hail</a></aside></main>"
+        "<section class='comments'><h3>Comments</h3><p>I saw it too, what a night that was for all of us!</p></section></body>",
+        "Rain at last After nine dry weeks the first rain fell on the eastern farms on Sunday night. Farmers opened the gates of the old canals and let the water run to the lower rows.",
+    ),
+]
+
+
+def test_pages_written_by_hand(spark, small):
+    model = fit_labeller(spark.read.parquet(f"{small}/pages.parquet"))
+    scores = [words_f1(t, want) for t, (_, want) in zip(extract(model, [h for h, _ in HAND]), HAND)]
+    assert np.mean(scores) >= 0.85, scores
+
+
+def test_pages_that_are_long(spark, small):
+    start = time.time()
+    for page in ("<div>x" * 60_000, '<a "' * 200_000, "<!" * 200_000, "<li><a>x" * 40_000, "<a ='" * 100_000 + ">", "<p><b>" * 60_000, "<p>" + "word " * 200_000):
+        blocks_of(page)
+    assert time.time() - start < 20
+    model = fit_labeller(spark.read.parquet(f"{small}/pages.parquet"))
+    assert len(extract(model, ["<article>" + "<p>some words of a page.</p>" * 20_000 + "</article>"])[0]) > 400_000
+
+
 def test_pages_edge_rows(spark, small):
     model = fit_labeller(spark.read.parquet(f"{small}/pages.parquet"))
     df = spark.createDataFrame([(1, None, "m"), (2, "", "m"), (3, "<article><p>hello world of words.</p></article>", "m")], "page_id long, html string, main_text string")
@@ -92,3 +140,45 @@ def test_quotes_on_the_table(spark, small):
     rows = spark.read.parquet(f"{small}/conversations.parquet").collect()
     got = {(r.conv_id, r.turn): r for r in op8_quote_links(spark, small).collect()}
     assert len(got) == len(rows) and all(got[r.conv_id, r.turn].text == "\n".join(x.strip(" ") for x in r.text.split("\n")).strip() for r in rows)
+
+
+def brute_links(rows):
+    """Origins of quotations of one line: an earlier turn of the own conversation, else the least other message."""
+    norm = lambda x: " ".join("".join(c if c.isalnum() else " " for c in x.lower()).split())
+    said = {(c, t): {norm(x) for x in text.split("\n") if not x.startswith(">")} for c, t, text in rows}
+    out = {}
+    for c, t, text in rows:
+        for line in text.split("\n"):
+            if line.startswith(">"):
+                holds = [k for k in said if norm(line[1:]) in said[k]]
+                own = sorted(k for k in holds if k[0] == c and k[1] < t)
+                others = sorted(k for k in holds if k[0] != c)
+                out[c, t] = (own or others or [(None, None)])[0]
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    """Generated quotations: a third of all messages quote one hot line, others quote lines of any message."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    lines, rows = ["the line that all of them quote"], []
+    for c in range(150):
+        for t in range(8):
+            own = [" ".join(word() for _ in range(5)) for _ in range(2)]
+            quote = [] if rng.random() < 0.3 else ["> " + (lines[0] if rng.random() < 0.5 else rng.choice(lines))]
+            lines += own
+            rows.append((c, t, "\n".join([*quote, *own, *([lines[0]] if rng.random() < 0.02 else [])])))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in link_quotes(df).collect()}
+    truth = brute_links(rows)
+    assert len(truth) > 700 and all(got[k] == truth.get(k, (None, None)) for k in got)
+
+
+def test_long_message(spark):
+    text = "\n".join(("> " * (i % 3) + f"line {i}") for i in range(60_000))
+    start = time.time()
+    said, quotes = parsed(text)
+    assert time.time() - start < 5 and len(said.split("\n")) == 20_000 and len(quotes) == 40_000
+    df = spark.createDataFrame([(1, 0, "user", "line 4001"), (1, 1, "user", text)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.n_quotes, r.reply_turn) for r in link_quotes(df).collect()}
+    assert got[1] == (40_000, 0)

@@ -25,6 +25,23 @@ def test_same_as_library(path):
     assert [Decoder(model).decode(i) for i in ids] == [lib.decode(r.ids, skip_special_tokens=False) for r in ref]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_code_point(path):
+    lib, encoder = Tokenizer.from_file(path), Encoder(load_model(path))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 100_000):
+        texts = [f"a{chr(c)}1{chr(c)}{chr(c)}!{chr(c)} b" for c in points[lo : lo + 100_000]]
+        assert encoder.encode(texts) == [r.ids for r in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_texts_of_any_code_points():
+    rng = random.Random(17)
+    blocks = [(0x20, 0x7F), (0x80, 0x600), (0x1C80, 0x2100), (0xA640, 0xAC00), (0x10000, 0x12700), (0x16E00, 0x19200), (0x1D000, 0x1FA00), (0x300, 0x370)]
+    texts = ["".join(chr(rng.randrange(*rng.choice(blocks))) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    for path in (WORD, BYTE):
+        assert Encoder(load_model(path)).encode(texts) == [r.ids for r in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.characters(max_codepoint=0x2FF, exclude_categories=("Cs",)), max_size=200))
 def test_any_text(text):
