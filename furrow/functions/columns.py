@@ -76,3 +76,46 @@ def utm(lon: Column, lat: Column) -> tuple[Column, Column]:
         east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000 + k0 * radius * east, k0 * radius * north
+
+
+def terminal_shape(concavity: Column, reflex: Column, events: Column, fragmentation: Column) -> Column:
+    """A part that is regular enough to be left whole. The six bounds."""
+    resolved = (events == 0) | ((concavity <= 0.05) & (fragmentation <= 1.10))
+    return resolved & (((reflex <= 1) & (concavity <= 0.10) & (fragmentation <= 1.15)) | ((concavity <= 0.040) & (reflex <= 1) & (fragmentation <= 1.35)))
+
+
+def transfer_class(shifts: Column, reverse_runs: Column, winding: Column) -> Column:
+    """BLOCK_TRANSFER, or null for a transfer of too many gear changes or of a full loop. The bounds."""
+    return F.when((shifts <= 4) & (reverse_runs <= 2) & (winding <= 2 * math.pi - 0.1), F.lit("BLOCK_TRANSFER"))
+
+
+def forward_corner(reverse_points: Column, winding: Column, net_heading: Column, extra: float = 0.08) -> Column:
+    """A corner without reverse gear that turns no more than its net heading asks for."""
+    return (reverse_points == 0) & (winding <= F.abs(net_heading) + extra)
+
+
+def gentle_radius(dx: Column, dy: Column, yaw_a: Column, yaw_b: Column, curvature_rate: float, least_radius: float) -> Column:
+    """The larger of two radii for a corner between poses, from where their tangents meet; null if there is none.
+
+    A corner needs radius * tan(theta / 2) + 1 / (2 * rate * radius) of straight line on both sides.
+    """
+    theta = F.abs(wrap_angle(yaw_b - yaw_a))
+    turn = F.cos(yaw_a) * F.sin(yaw_b) - F.sin(yaw_a) * F.cos(yaw_b)
+    trim = F.least((dx * F.sin(yaw_b) - dy * F.cos(yaw_b)) / turn, (F.cos(yaw_a) * dy - F.sin(yaw_a) * dx) / turn)
+    tangent = F.tan(theta / 2)
+    inside = trim * trim - 2 * tangent / curvature_rate
+    radius = (trim + F.sqrt(inside)) / (2 * tangent)
+    fits = (theta >= 1e-5) & (theta <= math.pi - 1e-3) & (turn != 0)
+    return F.when(fits, F.when((trim > 0) & (inside > 0), F.when(radius > least_radius * (1 + 1e-6), radius)))
+
+
+def same_crs(left: Column, right: Column) -> Column:
+    """Equal names, or a local metric frame on one side and any local system on the other."""
+    local = lambda a, b: (a == "LOCAL_METRIC") & b.startswith("LOCAL_CS[")
+    return F.coalesce((left == right) | local(left, right) | local(right, left), F.lit(False))
+
+
+def stage_status(regions: Column, complete: Column, main_passed: Column, ledger_closed: Column) -> Column:
+    """Status of a field's swath stage; an open area ledger takes a complete one back to partial."""
+    whole = (complete == regions) & main_passed & ledger_closed
+    return F.when(whole, "SWATHS_COMPLETE").when(complete > 0, "SWATHS_PARTIAL").otherwise("SWATHS_NOT_FOUND")
