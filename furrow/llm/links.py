@@ -1,14 +1,15 @@
 """Classes of similar items from bucketed candidates, with no group in one task and no lost link.
 
-`classes` takes bucket memberships and a function that gives the contents of items, and returns the connected components of
-pairs whose Jaccard distance, which is a metric, is within a bound. A bucket isn't expanded into all its pairs:
+`classes` takes bucket memberships, the sizes of items' sets and a function that gives the contents of items, and returns
+the connected components of pairs whose Jaccard distance, which is a metric, is within a bound. Sets whose sizes alone
+keep them too far apart are never compared. A bucket isn't expanded into all its pairs:
 
 1. Each member is measured against one hub of its bucket. Pairs within the threshold are links.
 2. Buckets whose members already share one component need no more. In the others, one member of each component is
    measured against a new hub out of the bucket's largest component, for `HUB_ROUNDS` rounds.
 3. What is left are members outside the largest component of their bucket. Each is compared with all members of that
    component in such buckets, unless the triangle inequality over a hub proves them too far apart, and with the others
-   outside it. The two sides meet in small blocks, one row each, and only links leave a row.
+   outside it. The two sides meet in small blocks of like sizes, one row each, and only links leave a row.
 
 All tables are keyed and spread by item or bucket; the steps between rounds are cut by checkpoints in the shared
 folder, so a lost executor costs a part of one round.
@@ -16,6 +17,7 @@ folder, so a lost executor costs a part of one round.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -52,13 +54,31 @@ def _distance(x, y):
     return 1 - common / (F.size(x) + F.size(y) - common)
 
 
-def measured(pairs: DataFrame, content_of: ContentOf, elements: Elements) -> DataFrame:
-    """(a, b, distance) of pairs (a, b): 1 less the exact Jaccard similarity of their sets."""
-    pairs = gathered(pairs)
-    contents = content_of(gathered(pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()))
-    both = pairs.join(contents.select(F.col("item").alias("a"), F.col("content").alias("x")), "a").join(contents.select(F.col("item").alias("b"), F.col("content").alias("y")), "b")
+def _sizes_fit(x, y, most: float):
+    return F.least(F.size(x), F.size(y)) >= (1 - most - 1e-9) * F.greatest(F.size(x), F.size(y))
+
+
+def measured(pairs: DataFrame, sizes: DataFrame, content_of: ContentOf, elements: Elements, most: float) -> DataFrame:
+    """(a, b, distance, exact) of pairs (a, b): 1 less the exact Jaccard similarity of their sets, or a lower bound over `most`."""
+    ends = [sizes.select(F.col("item").alias(c), F.col("size").alias(n)) for c, n in (("a", "m"), ("b", "n"))]
+    bound = 1 - F.least("m", "n") / F.greatest("m", "n")
+    pairs = gathered(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.when((F.col("m") > 0) & (F.col("n") > 0), bound).otherwise(0.0).alias("distance")))
+    close = pairs.where(F.col("distance") <= most).select("a", "b")
+    contents = content_of(gathered(close.select(F.col("a").alias("item")).union(close.select(F.col("b").alias("item"))).distinct()))
+    both = close.join(contents.select(F.col("item").alias("a"), F.col("content").alias("x")), "a").join(contents.select(F.col("item").alias("b"), F.col("content").alias("y")), "b")
     both = both.select("a", "b", elements(F.col("x")).alias("x"), elements(F.col("y")).alias("y"))
-    return both.select("a", "b", _distance(F.col("x"), F.col("y")).alias("distance"))
+    both = both.select("a", "b", _distance(F.col("x"), F.col("y")).alias("distance"), F.lit(True).alias("exact"))
+    return both.union(pairs.where(F.col("distance") > most).select("a", "b", "distance", F.lit(False).alias("exact")))
+
+
+def _size_classes(side: DataFrame, sizes: DataFrame, most: float, around: bool) -> DataFrame:
+    """`side` (arena, item) with arenas split by the logarithm of sizes; `around` puts an item in the classes next to its own too.
+
+    Sets of a link have sizes within a factor of 1 - most, so their classes differ by one at most.
+    """
+    own = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.lit(-math.log(1 - most) + 1e-9))
+    at = F.explode(F.sequence(own - 1, own + 1)) if around else own
+    return side.join(sizes, "item").select("arena", at.alias("class"), "item").select(F.struct("arena", "class").alias("arena"), "item")
 
 
 def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,22 +91,22 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ways[0], ways[1]
 
 
-def links_between(left: DataFrame, right: DataFrame, content_of: ContentOf, elements: Elements, most: float) -> DataFrame:
+def links_between(left: DataFrame, right: DataFrame, sizes: DataFrame, content_of: ContentOf, elements: Elements, most: float) -> DataFrame:
     """Links (a, b) between all items of both sides of each arena, compared block by block inside a row."""
-    left, right = gathered(left.distinct()), gathered(right.distinct())
-    contents = stored(content_of(gathered(left.select("item").union(right.select("item")).distinct())))
-    blocks = [d.join(contents, "item").groupBy("arena", "l", "r").agg(F.collect_list(F.struct("item", "content")).alias(n)) for d, n in zip(_sides(left, right), "xy", strict=True)]
+    left, right = gathered(_size_classes(left.distinct(), sizes, most, True)), gathered(_size_classes(right.distinct(), sizes, most, False))
+    contents = content_of(gathered(left.select("item").union(right.select("item")).distinct()))
+    contents = stored(contents.select("item", elements(F.col("content")).alias("elements")))
+    blocks = [d.join(contents, "item").groupBy("arena", "l", "r").agg(F.collect_list(F.struct("item", "elements")).alias(n)) for d, n in zip(_sides(left, right), "xy", strict=True)]
     met = blocks[0].join(blocks[1], ["arena", "l", "r"])
-    met = met.select(*(F.transform(n, lambda i: F.struct(i["item"].alias("item"), elements(i["content"]).alias("elements"))).alias(n) for n in "xy"))
-    found = F.flatten(F.transform("x", lambda x: F.transform(F.filter("y", lambda y: (x["item"] != y["item"]) & (_distance(x["elements"], y["elements"]) <= most)), lambda y: F.struct(x["item"].alias("x"), y["item"].alias("y")))))
+    found = F.flatten(F.transform("x", lambda x: F.transform(F.filter("y", lambda y: (x["item"] != y["item"]) & _sizes_fit(x["elements"], y["elements"], most) & (_distance(x["elements"], y["elements"]) <= most)), lambda y: F.struct(x["item"].alias("x"), y["item"].alias("y")))))
     return met.select(F.explode(found).alias("f")).select(*ordered_pair("f.x", "f.y")).distinct()
 
 
-def classes(members: DataFrame, content_of: ContentOf, most: float, elements: Elements = lambda content: content) -> DataFrame:
-    """(item, label) of all items of `members`; label is the least item of the class. members: (bucket, item), distinct; most: the largest distance of a link."""
-    members = gathered(members)
+def classes(members: DataFrame, sizes: DataFrame, content_of: ContentOf, most: float, elements: Elements = lambda content: content) -> DataFrame:
+    """(item, label) of all items of `members`; label is the least item of the class. members: (bucket, item), distinct; sizes: (item, size) of their sets; most: the largest distance of a link."""
+    members, sizes = gathered(members), gathered(sizes.join(members.select("item").distinct(), "item", "left_semi"))
     hubs = members.groupBy("bucket").agg(F.min("item").alias("hub"))
-    tested = first = gathered(measured(members.join(hubs, "bucket").where("item <> hub").select(*ordered_pair("item", "hub")).distinct(), content_of, elements))
+    tested = first = gathered(measured(members.join(hubs, "bucket").where("item <> hub").select(*ordered_pair("item", "hub")).distinct(), sizes, content_of, elements, most))
     found = linked(tested.where(F.col("distance") <= most).select("a", "b"))
     comps = gathered(members.select("item").distinct().join(found, "item", "left").select("item", F.coalesce("label", "item").alias("label")))
     for k in range(HUB_ROUNDS):
@@ -97,7 +117,7 @@ def classes(members: DataFrame, content_of: ContentOf, most: float, elements: El
         picked = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(k), "bucket", "item").alias("d"), "item")).alias("p")).select("bucket", "n", "comp", F.col("p.item").alias("item"))
         hub = picked.groupBy("bucket").agg(F.max(F.struct("n", "comp", "item")).alias("p")).select("bucket", F.col("p.item").alias("hub"))
         pairs = picked.join(hub, "bucket").where("item <> hub").select(*ordered_pair("item", "hub")).distinct()
-        fresh = gathered(measured(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), content_of, elements))
+        fresh = gathered(measured(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sizes, content_of, elements, most))
         tested = tested.union(fresh)
         more = fresh.where(F.col("distance") <= most).select("a", "b")
         if not more.isEmpty():
@@ -108,10 +128,10 @@ def classes(members: DataFrame, content_of: ContentOf, most: float, elements: El
     main = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
     # distances to the bucket's first hub bound what is left: an item farther from it than the main component's farthest
     # member, by more than the largest distance of a link, has no link to that component
-    near = reduce(DataFrame.union, (first.select(F.col(x).alias("item"), F.col(y).alias("hub"), "distance") for x, y in (("a", "b"), ("b", "a"))))
+    near = reduce(DataFrame.union, (first.select(F.col(x).alias("item"), F.col(y).alias("hub"), "distance", "exact") for x, y in (("a", "b"), ("b", "a"))))
     rest = rest.join(main, "bucket").join(hubs, "bucket").join(near, ["item", "hub"], "left")
-    rest = gathered(rest.select("bucket", "item", "comp", "main", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("distance")))
-    far = rest.where("comp = main").groupBy("bucket").agg(F.max("distance").alias("far"), F.count_if(F.col("distance").isNull()).alias("unknown"))
+    rest = gathered(rest.select("bucket", "item", "comp", "main", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("distance"), F.coalesce("exact", F.lit(True)).alias("exact")))
+    far = rest.where("comp = main").groupBy("bucket").agg(F.max(F.when(F.col("exact"), F.col("distance")).otherwise(1.0)).alias("far"), F.count_if(F.col("distance").isNull()).alias("unknown"))
     minor = gathered(rest.where("comp <> main").select("bucket", "item", "main", "distance"))
     close = minor.join(far, "bucket").where((F.col("unknown") > 0) | F.col("distance").isNull() | (F.col("distance") - F.col("far") <= most + 1e-9))
     close = gathered(close.select(F.col("main").alias("arena"), "item").distinct())
@@ -119,7 +139,7 @@ def classes(members: DataFrame, content_of: ContentOf, most: float, elements: El
     among = minor.select(F.col("bucket").alias("arena"), "item")
     several = among.groupBy("arena").agg(F.count("*").alias("n")).where("n > 1").select("arena")
     among = gathered(among.join(several, "arena", "left_semi"))
-    more = links_between(close, core, content_of, elements, most).union(links_between(among, among, content_of, elements, most))
+    more = links_between(close, core, sizes, content_of, elements, most).union(links_between(among, among, sizes, content_of, elements, most))
     more = gathered(more.distinct())
     return comps if more.isEmpty() else joined(comps, more)
 

@@ -116,8 +116,8 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, do
     return signature
 
 
-def sketches(texts: list[str]) -> tuple[list[bytes], list[list[int]]]:
-    """(key of equal word sequences, band hashes) of each text; no bands without a word."""
+def sketches(texts: list[str]) -> tuple[list[bytes], list[list[int]], list[int]]:
+    """(key of equal word sequences, band hashes, total weight) of each text; no bands without a word."""
     shingles = Shingles(texts)
     words, number = shingles.words, np.full(len(texts), -1)
     number[shingles.docs] = np.arange(len(shingles.docs))
@@ -135,7 +135,7 @@ def sketches(texts: list[str]) -> tuple[list[bytes], list[list[int]]]:
     for i, t in enumerate(texts):
         if number[i] < 0:
             keys[i] = hashlib.blake2b(b"raw" + t.encode(), digest_size=16).digest()
-    return keys, [bands[k] if k >= 0 else [] for k in number.tolist()]
+    return keys, [bands[k] if k >= 0 else [] for k in number.tolist()], [shingles.total.get(i, 0) for i in range(len(texts))]
 
 
 def elements(texts: list[str]) -> list[np.ndarray]:
@@ -148,16 +148,16 @@ def elements(texts: list[str]) -> list[np.ndarray]:
 
 
 def _sketch(df: DataFrame) -> DataFrame:
-    """(id, t1, t2, key, bands) of rows (id, t1, t2, text)."""
+    """(id, t1, t2, key, bands, size) of rows (id, t1, t2, text)."""
 
     def run(batches):
         for batch in batches:
             for lo, texts in runs(batch.column(3).to_pylist()):
-                keys, bands = sketches(texts)
+                keys, bands, sizes = sketches(texts)
                 same = [batch.column(k).slice(lo, len(texts)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "t1", "t2", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["id", "t1", "t2", "key", "bands", "size"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, t1 long, t2 long, key binary, bands array<long>")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, t1 long, t2 long, key binary, bands array<long>, size long")
 
 
 def _elements(df: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _classed(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     sketched = stored(_sketch(known))
     # one representative of each word sequence; numbered, since an id may stand for several texts
-    groups = sketched.groupBy("key").agg(F.min(F.struct("id", "t1", "t2", "bands")).alias("m")).select("key", "m.id", "m.t1", "m.t2", "m.bands")
+    groups = sketched.groupBy("key").agg(F.min(F.struct("id", "t1", "t2", "bands", "size")).alias("m")).select("key", "m.*")
     groups = stored(groups.withColumn("item", F.monotonically_increasing_id()))
     members = crowded(groups.select("item", F.explode(F.array_distinct("bands")).alias("bucket")))
 
@@ -192,7 +192,7 @@ def _classed(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         found = known.join(small_side(wanted, wanted.count()), ["id", "t1", "t2"])
         return _elements(found.groupBy("item").agg(F.min("text").alias("text")))
 
-    comps = classes(members, content_of, 1 - similarity + 1e-12)
+    comps = classes(members, groups.select("item", "size"), content_of, 1 - similarity + 1e-12)
     found = cut(groups.select("item", "key", "id", "t1", "t2").join(comps, "item", "left").select("key", F.coalesce("label", "item").alias("label"), F.struct("id", "t1", "t2").alias("first")))
     rows = sketched.select("id", "t1", "t2", "key").join(found.select("key", "label"), "key").drop("key")
     return rows, found.groupBy("label").agg(F.min("first").alias("first"))
