@@ -2,8 +2,9 @@
 
 Dimensions are the terms of a query. A shard holds a run of candidate rows and, for each dimension, the span of its
 values, so it bounds what a dimension can add to a query's score. Dimensions are taken in falling order of that span:
-the essential ones are those without which no row could reach the query's k-th best score so far. They are traversed
-for all rows of the shard; the other dimensions are probed, some at a time, while rows are still competitive. Dense
+the essential ones of a query are those without which no row could reach its k-th best score so far. They are traversed
+for all rows of the shard, queries with as many essential dimensions together; the other dimensions are probed, some at
+a time, while rows are still competitive. Dense
 parts are matrix products; once few rows are competitive they are probed one by one. Every shard keeps its k best for
 a query, and the shards' lists are merged. Ties go to the smaller id; nothing is approximate.
 
@@ -11,7 +12,7 @@ Queries come as packed blocks of bounded size, shuffled to each group of shards;
 
 Vectors that are null, or hold null or non-finite components, take no part. Shorter vectors count as filled up with 0.
 A query's own id is no candidate for it. A repeated id is one query, with the least of its vectors, but each of its
-rows is a candidate. Scores are integers of 64 bits. Other columns are not read; an empty table gives an empty result.
+rows is a candidate. Scores are integers of 64 bits. A vector of any length is read whole. Other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of queries, and of a group of shards that receives it.
 QUERY_ROWS, GROUP_ROWS = 4096, 65_536
+#: Blocks of queries that one task scores against a group of shards.
+MOST_BLOCKS = 64
 #: Rows scored between two updates of the k-th best score; dimensions probed at a time.
 STEP_ROWS, PROBE = 2048, 16
 FEW = 0.02
@@ -59,6 +62,27 @@ def _best(q: np.ndarray, v: np.ndarray, score: np.ndarray, ids: np.ndarray, k: i
     return order[rank < k]
 
 
+def _competitive(q: np.ndarray, part: np.ndarray, rest: np.ndarray, least: np.ndarray, own: np.ndarray, some: np.ndarray, at: int) -> tuple:
+    """(query, row, score) of the rows that stay competitive for queries `some`, whose essential dimensions are the first `at`."""
+    width, q, rest, least = q.shape[1], q[some], rest[some], least[some]
+    score = q[:, :at] @ part[:, :at].T
+    open_ = ~own[some] & (score + rest[:, at : at + 1] >= least[:, None])
+    while at < width and open_.mean() > FEW:
+        to = min(width, at + PROBE)
+        score += q[:, at:to] @ part[:, at:to].T
+        at = to
+        open_ &= score + rest[:, at : at + 1] >= least[:, None]
+    qi, vi = np.nonzero(open_)
+    s = score[qi, vi]
+    while at < width and len(qi):
+        to = min(width, at + PROBE)
+        s = s + (q[qi, at:to] * part[vi, at:to]).sum(axis=1)
+        at = to
+        ok = s + rest[qi, at] >= least[qi]
+        qi, vi, s = qi[ok], vi[ok], s[ok]
+    return some[qi], vi, s
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, row number, score) of each query's k best rows of a shard."""
     n, width = rows.shape
@@ -75,28 +99,15 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
     bottom = (most - span).sum(axis=1)
     best_q, best_v, best_s = (np.zeros(0, np.int64) for _ in range(3))
     least = np.full(len(q), -np.inf)
+    gain = np.cumsum(span[:, ::-1], axis=1)[:, ::-1]  # of the dimensions from j on
     for lo in range(0, n, STEP_ROWS):
         part = v[lo : lo + STEP_ROWS]
-        # essential: the fewest dimensions such that a row at the bottom of them can't reach the k-th best score
-        gain = np.cumsum(span[:, ::-1], axis=1)[:, ::-1]  # of the dimensions from j on
-        needed = (bottom[:, None] + gain >= least[:, None]).sum(axis=1).max(initial=0)
-        at = min(width, max(int(needed), min(PROBE, width)))
-        score = q[:, :at] @ part[:, :at].T
         own = query_ids[:, None] == ids[None, lo : lo + len(part)]
-        open_ = ~own & (score + rest[:, at : at + 1] >= least[:, None])
-        while at < width and open_.mean() > FEW:
-            to = min(width, at + PROBE)
-            score += q[:, at:to] @ part[:, at:to].T
-            at = to
-            open_ &= score + rest[:, at : at + 1] >= least[:, None]
-        qi, vi = np.nonzero(open_)
-        s = score[qi, vi]
-        while at < width and len(qi):
-            to = min(width, at + PROBE)
-            s = s + (q[qi, at:to] * part[vi, at:to]).sum(axis=1)
-            at = to
-            ok = s + rest[qi, at] >= least[qi]
-            qi, vi, s = qi[ok], vi[ok], s[ok]
+        # essential: for each query, the fewest dimensions such that a row at the bottom of them can't reach its k-th best score
+        needed = (bottom[:, None] + gain >= least[:, None]).sum(axis=1)
+        needed = np.minimum(width, np.maximum(-(-needed // PROBE), 1) * PROBE)
+        found = [_competitive(q, part, rest, least, own, np.flatnonzero(needed == at), int(at)) for at in np.unique(needed)]
+        qi, vi, s = (np.concatenate(x) for x in zip(*found, strict=True))
         best_q, best_v, best_s = np.concatenate((best_q, qi)), np.concatenate((best_v, vi + lo)), np.concatenate((best_s, s.astype(np.int64)))
         keep = _best(best_q, best_v, best_s, ids, k)
         best_q, best_v, best_s = best_q[keep], best_v[keep], best_s[keep]
@@ -113,12 +124,18 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     of = queries.groupBy("id").agg(F.min("v").alias("v"))
     asked = of.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     width = max(facts["w"] or 0, asked["w"] or 0, 1)
-    blocks, groups = max(1, -(-asked["n"] // QUERY_ROWS)), max(1, -(-facts["n"] // GROUP_ROWS))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-asked["n"] // QUERY_ROWS))
+    # groups of at most GROUP_ROWS, and enough of them for all cores; a task meets at most MOST_BLOCKS blocks of queries
+    groups = max(1, -(-facts["n"] // GROUP_ROWS), min(2 * cores, facts["n"] // STEP_ROWS))
+    turns = -(-blocks // MOST_BLOCKS)
+
+    shard_rows = min(MOST_ROWS, max(1, facts["n"] // groups))
 
     def pack_rows(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, MOST_ROWS):
-                some = batch.slice(lo, MOST_ROWS)
+            for lo in range(0, batch.num_rows, shard_rows):
+                some = batch.slice(lo, shard_rows)
                 order = np.argsort(some.column(0).to_numpy(zero_copy_only=False), kind="stable")
                 ids, vectors = some.column(0).take(pa.array(order)), some.column(1).take(pa.array(order))
                 data = ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes()
@@ -137,8 +154,12 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[v]), pa.array(s)], ["query_id", "vec_id", "score"])
 
     shards = rows.select("id", "v").mapInArrow(pack_rows, "group long, ids binary, data binary")
-    packed = of.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks))).applyInArrow(pack_block, "qids binary, qdata binary")
-    sent = packed.select("qids", "qdata", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    found = shards.join(sent, "group").drop("group").mapInArrow(score, "query_id long, vec_id long, score long")
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    packed = of.groupBy(block).applyInArrow(pack_block, "qids binary, qdata binary")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")
+    sent = packed.select("qids", "qdata", everywhere, F.pmod(F.xxhash64("qids"), F.lit(turns)).alias("turn"))
+    shards = shards.select("group", "ids", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"))
+    met = shards.repartition(groups * turns, "group", "turn").join(sent.repartition(groups * turns, "group", "turn"), ["group", "turn"])
+    found = met.select("qids", "qdata", "ids", "data").mapInArrow(score, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
