@@ -119,3 +119,38 @@ def stage_status(regions: Column, complete: Column, main_passed: Column, ledger_
     """Status of a field's swath stage; an open area ledger takes a complete one back to partial."""
     whole = (complete == regions) & main_passed & ledger_closed
     return F.when(whole, "SWATHS_COMPLETE").when(complete > 0, "SWATHS_PARTIAL").otherwise("SWATHS_NOT_FOUND")
+
+
+def dubins_length(dx: Column, dy: Column, yaw_a: Column, yaw_b: Column, radius: float) -> Column:
+    """Length of the shortest forward path with bounded curvature between two poses: the least of the six words."""
+    full = 2 * math.pi
+    turn = lambda x: F.pmod(x, F.lit(full))
+    d, theta = F.hypot(dx, dy) / radius, F.atan2(dy, dx)
+    a, b = turn(yaw_a - theta), turn(yaw_b - theta)
+    sa, sb, ca, cb, cab = F.sin(a), F.sin(b), F.cos(a), F.cos(b), F.cos(a - b)
+
+    def when(p2: Column, length: Column) -> Column:
+        return F.when(p2 >= 0, length)
+
+    def root(x: Column) -> Column:
+        return F.sqrt(F.greatest(x, F.lit(0.0)))
+
+    def arc(c: Column) -> Column:
+        return full - F.acos(F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)))
+
+    lsl, rsr = 2 + d * d - 2 * cab + 2 * d * (sa - sb), 2 + d * d - 2 * cab + 2 * d * (sb - sa)
+    lsr, rsl = d * d - 2 + 2 * cab + 2 * d * (sa + sb), d * d - 2 + 2 * cab - 2 * d * (sa + sb)
+    rlr, lrl = (6 - d * d + 2 * cab + 2 * d * (sa - sb)) / 8, (6 - d * d + 2 * cab + 2 * d * (sb - sa)) / 8
+    to_lsl, to_rsr = F.atan2(cb - ca, d + sa - sb), F.atan2(ca - cb, d - sa + sb)
+    to_lsr, to_rsl = F.atan2(-ca - cb, d + sa + sb) + F.atan2(F.lit(2.0), root(lsr)), F.atan2(ca + cb, d - sa - sb) - F.atan2(F.lit(2.0), root(rsl))
+    p_rlr, p_lrl = arc(rlr), arc(lrl)
+    t_rlr, t_lrl = turn(a - F.atan2(ca - cb, d - sa + sb) + p_rlr / 2), turn(-a - F.atan2(ca - cb, d + sa - sb) + p_lrl / 2)
+    words = [
+        when(lsl, turn(to_lsl - a) + root(lsl) + turn(b - to_lsl)),
+        when(rsr, turn(a - to_rsr) + root(rsr) + turn(to_rsr - b)),
+        when(lsr, turn(to_lsr - a) + root(lsr) + turn(to_lsr - b)),
+        when(rsl, turn(a - to_rsl) + root(rsl) + turn(b - to_rsl)),
+        when(1 - F.abs(rlr), t_rlr + p_rlr + turn(a - b - t_rlr + p_rlr)),
+        when(1 - F.abs(lrl), t_lrl + p_lrl + turn(b - a - t_lrl + p_lrl)),
+    ]
+    return F.least(*words) * radius

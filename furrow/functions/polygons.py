@@ -83,34 +83,3 @@ def grid_path(free: np.ndarray, start: tuple[int, int], goal: tuple[int, int], b
                     cost[q] = c
                     heapq.heappush(heap, (c + far(q), q))
     return "GEOMETRICALLY_DISCONNECTED", math.nan, len(done)
-
-
-def dubins_length(start: tuple[float, float, float], end: tuple[float, float, float], radius: float) -> float:
-    """Length of the shortest forward path with bounded curvature between two poses."""
-    dx, dy = end[0] - start[0], end[1] - start[1]
-    d, theta = math.hypot(dx, dy) / radius, math.atan2(dy, dx)
-    a, b = (start[2] - theta) % (2 * math.pi), (end[2] - theta) % (2 * math.pi)
-    turn, sa, sb, ca, cb = lambda x: x % (2 * math.pi), math.sin(a), math.sin(b), math.cos(a), math.cos(b)
-    found = []
-    for left in (1, -1):  # LSL and RSR
-        p2 = 2 + d * d - 2 * math.cos(a - b) + 2 * d * left * (sa - sb)
-        if p2 >= 0:
-            t = math.atan2(left * (cb - ca), d + left * (sa - sb))
-            found.append(turn(left * (t - a) if left == 1 else a - math.atan2(ca - cb, d - sa + sb)) + math.sqrt(p2) + turn(left * (b - t) if left == 1 else -b + math.atan2(ca - cb, d - sa + sb)))
-    for first in (1, -1):  # LSR and RSL
-        p2 = -2 + d * d + 2 * math.cos(a - b) + first * 2 * d * (sa + sb)
-        if p2 >= 0:
-            p = math.sqrt(p2)
-            t = math.atan2(-ca - cb, d + sa + sb) - math.atan2(-2.0, p) if first == 1 else math.atan2(ca + cb, d - sa - sb) - math.atan2(2.0, p)
-            found.append((turn(t - a) + p + turn(t - turn(b))) if first == 1 else (turn(a - t) + p + turn(b - t)))
-    for first in (1, -1):  # RLR and LRL
-        c = (6 - d * d + 2 * math.cos(a - b) + (2 * d * (sa - sb) if first == -1 else 2 * d * (sb - sa))) / 8
-        if abs(c) <= 1:
-            p = turn(2 * math.pi - math.acos(c))
-            if first == -1:
-                t = turn(a - math.atan2(ca - cb, d - sa + sb) + p / 2)
-                found.append(t + p + turn(a - b - t + p))
-            else:
-                t = turn(-a - math.atan2(ca - cb, d + sa - sb) + p / 2)
-                found.append(t + p + turn(turn(b) - a - t + turn(p)))
-    return min(found) * radius

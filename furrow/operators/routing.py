@@ -6,13 +6,16 @@ unordered aggregate can express, run in one group a field, in the documented ord
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.functions.polygons import dubins_length, grid_path, least_rectangle, union_area
+from furrow.functions.columns import dubins_length
+from furrow.functions.polygons import grid_path, least_rectangle
 
 
 def direction_costs(tasks: DataFrame, field: str = "field_id", order: str = "task") -> DataFrame:
@@ -67,15 +70,10 @@ def grid_detours(fields: DataFrame, cell: float = 5.0) -> DataFrame:
 
 def forward_turns(tasks: DataFrame, radius: float = 5.0) -> DataFrame:
     """(field_id, task, length): shortest forward turn from the end of each task to the start of the next (xs, xe, y)."""
-
-    def turns(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.sort_values("task")
-        xs, xe, y = (t[c].to_numpy() for c in ("xs", "xe", "y"))
-        yaw = np.where(xe >= xs, 0.0, np.pi)
-        rows = [(int(t.field_id.iloc[k]), int(t.task.iloc[k]), dubins_length((xe[k], y[k], yaw[k]), (xs[k + 1], y[k + 1], yaw[k + 1]), radius)) for k in range(len(t) - 1)]
-        return pd.DataFrame(rows, columns=["field_id", "task", "length"])
-
-    return tasks.select("field_id", "task", "xs", "xe", "y").groupBy("field_id").applyInPandas(turns, "field_id long, task int, length double")
+    w = Window.partitionBy("field_id").orderBy("task")
+    yaw = F.when(F.col("xe") >= F.col("xs"), 0.0).otherwise(math.pi)
+    steps = tasks.select("field_id", "task", "xe", "y", yaw.alias("yaw"), F.lead("xs").over(w).alias("nx"), F.lead("y").over(w).alias("ny"), F.lead(yaw).over(w).alias("nyaw")).where("nx is not null")
+    return steps.select("field_id", "task", dubins_length(F.col("nx") - F.col("xe"), F.col("ny") - F.col("y"), F.col("yaw"), F.col("nyaw"), radius).alias("length"))
 
 
 def gap_cover(candidates: DataFrame, least_gain: float) -> DataFrame:
@@ -116,24 +114,27 @@ def least_rectangles(vertices: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def union_areas(boxes: DataFrame, field: str = "field_id") -> DataFrame:
-    """Union area of each group's boxes (x0, y0, x1, y1)."""
+    """Union area of each group's boxes (x0, y0, x1, y1): between neighbouring edges in x, the union of intervals in y."""
+    edges = boxes.select(field, F.explode(F.array("x0", "x1")).cast("double").alias("x")).distinct()
+    slabs = edges.withColumn("to", F.lead("x").over(Window.partitionBy(field).orderBy("x"))).where("to is not null")
+    met = slabs.join(boxes.select(field, "x0", "x1", "y0", "y1"), field).where("x0 <= x and x1 >= to and y1 > y0")
+    w = Window.partitionBy(field, "x").orderBy("y0", "y1")
+    reached = F.coalesce(F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("y0"))
+    met = met.select(field, "x", "to", (F.greatest(F.col("y1") - F.greatest(F.col("y0"), reached), F.lit(0)) * (F.col("to") - F.col("x"))).alias("area"))
+    return boxes.select(field).distinct().join(met.groupBy(field).agg(F.sum("area").alias("union_area")), field, "left").select(field, F.coalesce("union_area", F.lit(0.0)).alias("union_area"))
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf[field].iloc[0], union_area(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)))], columns=[field, "union_area"])
 
-    return boxes.select(field, "x0", "y0", "x1", "y1").groupBy(field).applyInPandas(total, f"{field} long, union_area double")
+def distinct_directions(proposals: DataFrame, least_deg: float = 3.0, most: int = 8) -> DataFrame:
+    """(field_id, angle, place): by falling weight, angles at least `least_deg` from all taken before, at most `most`.
 
+    A fold over the sorted proposals of a field, of which equal angles are one.
+    """
+    best = proposals.groupBy("field_id", F.col("angle").cast("double").alias("angle")).agg(F.max("weight").alias("weight"))
+    ordered = best.groupBy("field_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "angle"))).alias("p"))
+    far = lambda taken, a: F.forall(taken, lambda b: angle_gap(a, b) >= least_deg)
+    fold = F.aggregate("p", F.array().cast("array<double>"), lambda taken, p: F.when((F.size(taken) < most) & far(taken, p["angle"]), F.concat(taken, F.array(p["angle"]))).otherwise(taken))
+    return ordered.select("field_id", F.posexplode(fold).alias("place", "angle")).select("field_id", "angle", (F.col("place") + 1).alias("place"))
 
-def distinct_directions(proposals: DataFrame, least_deg: float = 3.0, most: int = 8) -> DataFrame:
-    """(field_id, angle, place): by falling weight, angles at least `least_deg` from all taken before, at most `most`."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[float] = []
-        for a in pdf.sort_values(["weight", "angle"], ascending=[False, True]).angle:
-            if all(min((a - b) % 180, (b - a) % 180) >= least_deg for b in taken):
-                taken.append(a)
-            if len(taken) == most:
-                break
-        return pd.DataFrame([(pdf.field_id.iloc[0], a, k + 1) for k, a in enumerate(taken)], columns=["field_id", "angle", "place"])
 
-    return proposals.select("field_id", "angle", "weight").groupBy("field_id").applyInPandas(pick, "field_id long, angle double, place int")
+def angle_gap(a, b):
+    return F.least(F.pmod(a - b, F.lit(180.0)), F.pmod(b - a, F.lit(180.0)))

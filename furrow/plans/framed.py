@@ -293,7 +293,7 @@ def set_task_difference(spark, sf_dir):
 @query()
 def geo_spatial_order(spark, sf_dir):
     """Place of every region of every field. Only distinct shapes are numbered in one task: by v_fields they repeat every
-    480 fields; regions of one shape are numbered by field. The SQL stops at field 49 and so says less."""
+    480 fields; regions of one shape are numbered by field."""
     return run(
         spark,
         sf_dir,
@@ -304,21 +304,30 @@ def geo_spatial_order(spark, sf_dir):
     )
 
 
-def _each_leg_from_its_own(text: str, at: int, start: str, end: str, old: str) -> str:
+def _each_leg_from_its_own(text: str, at: int, start: str, end: str, old: str, spark: bool = True) -> str:
     """The text with samples every `at` metres from start to end of each leg in place of those of a fixed range."""
     if old not in text:
         raise ValueError("the text has other samples")
-    return text.replace(old, f"e LATERAL VIEW explode(sequence(CAST(floor(({start}) / {at}) AS BIGINT), CAST(floor(({end}) / {at}) AS BIGINT))) k AS id WHERE k.id >= 0 AND ")
+    lo, hi = (f"CAST(floor(({x}) / {at}) AS BIGINT)" for x in (start, end))
+    if spark:
+        return text.replace(old, f"e LATERAL VIEW explode(sequence({lo}, {hi})) k AS id WHERE k.id >= 0 AND ")
+    return text.replace(old, f"e JOIN LATERAL (SELECT unnest(generate_series({lo}, {hi})) AS id) k ON ")
 
 
-@query()
+_BLOCKS = (SHARED["win_local_speed_blocks"], 25, "e.till - e.len", "e.till", "e JOIN (SELECT * FROM range(0, 400) AS t(id)) k ON ")
+_SAMPLES = (
+    """WITH e AS (SELECT chain, sequence, length, sum(length) OVER (PARTITION BY chain ORDER BY sequence) AS till FROM {v_legs}),
+        s AS (SELECT e.*, k.id AS sample, k.id * 40.0E0 AS at_m FROM SAMPLES k.id * 40 >= e.till - e.length AND k.id * 40 < e.till)
+        SELECT chain, sample, sequence, round((at_m - (till - length)) / length, 4) AS share FROM s""",
+    40, "e.till - e.length", "e.till", "SAMPLES",
+)
+
+
+@query(_each_leg_from_its_own(*_BLOCKS, spark=False))
 def win_local_speed_blocks(spark, sf_dir):
-    return run(spark, sf_dir, _each_leg_from_its_own(SHARED["win_local_speed_blocks"], 25, "e.till - e.len", "e.till", "e JOIN (SELECT * FROM range(0, 400) AS t(id)) k ON "))
+    return run(spark, sf_dir, _each_leg_from_its_own(*_BLOCKS))
 
 
-@query()
+@query(_each_leg_from_its_own(*_SAMPLES, spark=False))
 def joi_asof_samples(spark, sf_dir):
-    text = """WITH e AS (SELECT chain, sequence, length, sum(length) OVER (PARTITION BY chain ORDER BY sequence) AS till FROM {v_legs}),
-        s AS (SELECT e.*, k.id AS sample, k.id * 40.0E0 AS at FROM SAMPLES k.id * 40 >= e.till - e.length AND k.id * 40 < e.till)
-        SELECT chain, sample, sequence, round((at - (till - length)) / length, 4) AS share FROM s"""
-    return run(spark, sf_dir, _each_leg_from_its_own(text, 40, "e.till - e.length", "e.till", "SAMPLES"))
+    return run(spark, sf_dir, _each_leg_from_its_own(*_SAMPLES))

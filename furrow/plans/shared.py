@@ -56,8 +56,8 @@ _("joi_continuous_runs", """SELECT a.field_id, a.region_id AS region_a, b.region
 _("joi_asof_samples", """WITH e AS (SELECT chain, sequence, length, sum(length) OVER (PARTITION BY chain ORDER BY sequence) AS e FROM {v_legs}),
     t AS (SELECT chain, max(e) AS total FROM e GROUP BY chain), s AS (SELECT t.chain, k.id AS sample, k.id * 40.0E0 AS at FROM t JOIN (SELECT * FROM range(0, 30) AS r(id)) k ON k.id * 40 < t.total)
     SELECT s.chain, s.sample, e.sequence, round((s.at - (e.e - e.length)) / e.length, 4) AS share FROM s JOIN e ON e.chain = s.chain AND e.e - e.length <= s.at AND s.at < e.e""")
-_("joi_component_of_point", """SELECT t.chain, t.i, coalesce(min(g.region_id), -1) AS component FROM {v_track} t LEFT JOIN {v_regions} g ON g.field_id = t.chain % 10 AND t.x BETWEEN g.x0 AND g.x1 AND t.y BETWEEN g.y0 AND g.y1 GROUP BY t.chain, t.i""")
-_("joi_single_part_of_point", """SELECT t.chain, t.i, CASE WHEN count(g.region_id) = 1 THEN min(g.region_id) END AS part FROM {v_track} t LEFT JOIN {v_regions} g ON g.field_id = t.chain % 10 AND t.x BETWEEN g.x0 AND g.x1 AND t.y BETWEEN g.y0 AND g.y1 GROUP BY t.chain, t.i""")
+_("joi_component_of_point", """SELECT t.chain, t.i, coalesce(min(g.region_id), -1) AS component FROM (SELECT t.*, 1 + t.chain % (SELECT count(*) FROM {supplier}) AS field_id FROM {v_track} t) t LEFT JOIN {v_regions} g ON g.field_id = t.field_id AND t.x BETWEEN g.x0 AND g.x1 AND t.y BETWEEN g.y0 AND g.y1 GROUP BY t.chain, t.i""")
+_("joi_single_part_of_point", """SELECT t.chain, t.i, CASE WHEN count(g.region_id) = 1 THEN min(g.region_id) END AS part FROM (SELECT t.*, 1 + t.chain % (SELECT count(*) FROM {supplier}) AS field_id FROM {v_track} t) t LEFT JOIN {v_regions} g ON g.field_id = t.field_id AND t.x BETWEEN g.x0 AND g.x1 AND t.y BETWEEN g.y0 AND g.y1 GROUP BY t.chain, t.i""")
 _("joi_insertion_places", """WITH g AS (SELECT field_id, task, xe, y, lead(xs) OVER (PARTITION BY field_id ORDER BY task) AS nx, lead(y) OVER (PARTITION BY field_id ORDER BY task) AS ny FROM {v_ordered}),
     c AS (SELECT field_id, task, round(abs(30 - xe) + abs(40 - y) + abs(nx - 30) + abs(ny - 40) - abs(nx - xe) - abs(ny - y), 4) AS detour FROM g WHERE nx IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY detour, task) AS place FROM c) SELECT field_id, task, detour, CAST(place AS INT) AS place FROM r WHERE place <= 3""")
@@ -115,7 +115,7 @@ _("top_best_attempt", """SELECT batch, field_id FROM (SELECT batch, field_id, ro
 _("top_widest_portal", """WITH s AS (SELECT a.field_id, a.region_id AS region_a, b.region_id AS region_b, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS dx, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS dy, greatest(a.x0, b.x0) AS sx, greatest(a.y0, b.y0) AS sy
       FROM {v_regions} a JOIN {v_regions} b ON a.field_id = b.field_id AND a.region_id < b.region_id WHERE a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)
     SELECT field_id, region_a, region_b, sx + dx / 2.0E0 AS px, sy + dy / 2.0E0 AS py FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY dx + dy DESC, sx, sy, region_a, region_b) AS r FROM s) q WHERE r = 1""")
-_("top_ranked_tasks", """SELECT field_id, task, CAST(r AS INT) AS place FROM (SELECT field_id, task, row_number() OVER (PARTITION BY field_id ORDER BY CASE WHEN piece = 2 THEN 0 ELSE 1 END, round(least(abs(xs - 10) + abs(y - 10), abs(xe - 10) + abs(y - 10)), 6), task) AS r FROM {v_ordered}) q WHERE r <= 10""")
+_("top_ranked_tasks", """SELECT field_id, task, CAST(r AS INT) AS place FROM (SELECT field_id, task, row_number() OVER (PARTITION BY field_id ORDER BY CASE WHEN piece = 2 THEN 0 ELSE 1 END, round(least(abs(xs - 10) + abs(y - 10), abs(xe - 10) + abs(y - 10)), 6), task) AS r FROM {v_ordered}) q""")
 _("top_diverse_candidates", """WITH c AS (SELECT l_suppkey AS field_id, CAST(l_linenumber AS INT) AS parts, l_partkey AS candidate, min(l_extendedprice) AS cost, max(l_quantity) AS len FROM {lineitem} GROUP BY l_suppkey, l_linenumber, l_partkey),
     r AS (SELECT *, row_number() OVER (PARTITION BY field_id, parts ORDER BY cost, candidate) AS a, row_number() OVER (PARTITION BY field_id, parts ORDER BY len DESC, candidate) AS b FROM c)
     SELECT DISTINCT field_id, parts, candidate FROM r WHERE a <= 6 OR b <= 6""")
@@ -138,7 +138,7 @@ _("geo_anisotropic_core", """SELECT field_id, region_id, x0 + 7.5E0 AS cx0, y0 +
 _("geo_shared_interfaces", """SELECT a.field_id, a.region_id AS region_a, b.region_id AS region_b, CASE WHEN a.x1 = b.x0 OR b.x1 = a.x0 THEN least(a.y1, b.y1) - greatest(a.y0, b.y0) ELSE least(a.x1, b.x1) - greatest(a.x0, b.x0) END AS length
     FROM {v_regions} a JOIN {v_regions} b ON a.field_id = b.field_id AND a.region_id < b.region_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
 _("geo_snapped", """SELECT chain, i, round(x / 0.5E0) * 0.5E0 AS gx, round((y + 0.3E0) / 0.5E0) * 0.5E0 AS gy FROM {v_track}""")
-_("geo_spatial_order", """SELECT field_id, region_id, CAST(row_number() OVER (ORDER BY x0, y0, -(x1 - x0) * (y1 - y0), field_id, region_id) AS INT) AS place FROM {v_regions} WHERE field_id < 50""")
+_("geo_spatial_order", """SELECT field_id, region_id, CAST(row_number() OVER (ORDER BY x0, y0, -(x1 - x0) * (y1 - y0), field_id, region_id) AS INT) AS place FROM {v_regions}""")
 
 # kinematics
 _("kin_interval_class", """SELECT chain, category, round(sum(d), 4) AS distance_m, count(*) AS n FROM (SELECT chain, i, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS d, CASE WHEN working AND gear > 0 THEN 'WORK' WHEN working THEN 'WORK_REVERSE' WHEN gear < 0 THEN 'REVERSE'
@@ -156,13 +156,13 @@ _("swa_lines", """SELECT field_id, region_id, row_index, round(x0, 4) AS x0, rou
 _("swa_clip_hole", """SELECT field_id, row_index, piece, round(x0, 4) AS x0, round(x1, 4) AS x1, round(y, 4) AS y FROM {v_segments}""")
 _("swa_main_area_bound", """SELECT field_id, region_id, round(greatest(0, x1 - x0 - 2 * 5.0E0) * (y1 - y0 - 2 * 0.3E0), 4) AS bound_m2 FROM {v_regions}""")
 _("swa_short_segments", """SELECT field_id, row_index, piece, x1 - x0 AS length, CASE WHEN x1 - x0 < 20 AND piece = 2 THEN 'REMOVED_REDUNDANT_SHORT_WORK' WHEN x1 - x0 < 25 THEN 'RETAINED_REQUIRED_COVERAGE_LAG_PENDING' ELSE 'KEPT' END AS status FROM {v_segments}""")
-_("swa_candidates", """SELECT s.field_id, s.region_id, k.step, count(*) AS n, round(sum(s.x1 - s.x0) * 3.75E0, 4) AS area_m2 FROM {v_swaths} s JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(step)) k ON s.y + k.step * 3.675E0 / 4 <= 100 GROUP BY s.field_id, s.region_id, k.step""")
+_("swa_candidates", """SELECT s.field_id, s.region_id, k.step, count(*) AS n, round(sum(s.x1 - s.x0) * 3.75E0, 4) AS area_m2 FROM {v_swaths} s JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(step)) k ON true JOIN {v_regions} g ON g.field_id = s.field_id AND g.region_id = s.region_id AND s.y + k.step * 3.675E0 / 4 <= g.y1 GROUP BY s.field_id, s.region_id, k.step""")
 _("par_adjacency", """SELECT field_id, region_a, region_b, length FROM (SELECT a.field_id, a.region_id AS region_a, b.region_id AS region_b, greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS length
     FROM {v_regions} a JOIN {v_regions} b ON a.field_id = b.field_id AND a.region_id < b.region_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) q""")
 _("par_width_class", """SELECT field_id, region_a, region_b, CASE WHEN length = 0 THEN 'POINT_CONTACT' WHEN length < 6 THEN 'TOO_NARROW' WHEN length < 25 THEN 'NARROW' ELSE 'WIDE' END AS width_class FROM (SELECT a.field_id, a.region_id AS region_a, b.region_id AS region_b, greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS length
     FROM {v_regions} a JOIN {v_regions} b ON a.field_id = b.field_id AND a.region_id < b.region_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) q""")
 _("par_slabs", """SELECT field_id, y AS y_lo, next_y AS y_hi FROM (SELECT field_id, y, lead(y) OVER (PARTITION BY field_id ORDER BY y) AS next_y FROM (SELECT DISTINCT field_id, y FROM {v_rings}) d) q WHERE next_y - y >= 5""")
-_("par_nearest_core", """SELECT chain, i, region_id FROM (SELECT t.chain, t.i, g.region_id, row_number() OVER (PARTITION BY t.chain, t.i ORDER BY abs(t.x - (g.x0 + g.x1) / 2.0E0) + abs(t.y - (g.y0 + g.y1) / 2.0E0), g.region_id) AS r FROM {v_track} t JOIN {v_regions} g ON g.field_id = t.chain % 10) q WHERE r = 1""")
+_("par_nearest_core", """SELECT chain, i, region_id FROM (SELECT t.chain, t.i, g.region_id, row_number() OVER (PARTITION BY t.chain, t.i ORDER BY abs(t.x - (g.x0 + g.x1) / 2.0E0) + abs(t.y - (g.y0 + g.y1) / 2.0E0), g.region_id) AS r FROM (SELECT t.*, 1 + t.chain % (SELECT count(*) FROM {supplier}) AS field_id FROM {v_track} t) t JOIN {v_regions} g ON g.field_id = t.field_id) q WHERE r = 1""")
 _("par_reachability", """SELECT field_id, region_id, CASE WHEN least(x1 - x0, y1 - y0) >= 30 THEN 'FULL_ENVELOPE_SAFE' WHEN least(x1 - x0, y1 - y0) >= 10 THEN 'STRAIGHT_ONLY' ELSE 'UNREACHABLE_REVIEW' END AS reach FROM {v_regions}""")
 _("nav_connections", """SELECT field_id, sequence, round(abs(b_x - a_x) + abs(b_y - a_y), 4) AS length, CASE WHEN abs(b_x - a_x) + abs(b_y - a_y) <= 1E-5 THEN 'COINCIDENT' WHEN abs(b_x - a_x) <= 1E-5 THEN 'DIRECT_FOLD' WHEN abs(b_y - a_y) <= 1E-5 THEN 'GRID_DETOUR' ELSE 'SMOOTH_TEMPLATE' END AS method FROM {v_route} WHERE kind = 'CONNECTION'""")
 _("nav_route_status", """SELECT f.field_id, CASE WHEN count(r.sequence) = 0 THEN 'NO_BODY_TASKS' WHEN count(*) FILTER (WHERE r.kind = 'WORK') = count(*) FILTER (WHERE r.kind = 'CONNECTION') + 1 THEN 'COMPLETE_CONNECTED' ELSE 'PARTIAL_CONNECTED' END AS status FROM {v_fields} f LEFT JOIN {v_route} r ON r.field_id = f.field_id GROUP BY f.field_id""")

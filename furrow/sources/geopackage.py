@@ -12,9 +12,13 @@ from __future__ import annotations
 import sqlite3
 import struct
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
+#: Fixed values of the GeoPackage binary header: bytes of each kind of envelope.
 _ENVELOPE = (0, 32, 48, 48, 64)
 _KINDS = {"INTEGER": LongType(), "INT": LongType(), "MEDIUMINT": LongType(), "BOOLEAN": LongType(), "REAL": DoubleType(), "DOUBLE": DoubleType(), "FLOAT": DoubleType(), "BLOB": BinaryType()}
 
@@ -45,6 +49,50 @@ def ring_of(wkb: bytes) -> list[tuple[float, float]]:
     return [struct.unpack_from("<dd", wkb, 13 + 16 * k) for k in range(n)]
 
 
+def points_of(wkb: bytes | None) -> list[tuple[int, int, int, float, float]]:
+    """(part, ring, i, x, y) of a little-endian polygon or multipolygon with holes; closing points are left out."""
+    out: list[tuple[int, int, int, float, float]] = []
+
+    def polygon(at: int, part: int) -> int:
+        order, kind, rings = struct.unpack_from("<BII", wkb, at)
+        if order != 1 or kind != 3:
+            raise ValueError("not a little-endian polygon")
+        at += 9
+        for ring in range(rings):
+            (n,) = struct.unpack_from("<I", wkb, at)
+            flat = struct.unpack_from(f"<{2 * n}d", wkb, at + 4)
+            points = list(zip(flat[::2], flat[1::2], strict=True))
+            points = points[:-1] if n > 1 and points[0] == points[-1] else points
+            out.extend((part, ring, i, x, y) for i, (x, y) in enumerate(points))
+            at += 4 + 16 * n
+        return at
+
+    if wkb:
+        order, kind, n = struct.unpack_from("<BII", wkb)
+        at = 9
+        if order == 1 and kind == 6:
+            for part in range(n):
+                at = polygon(at, part)
+        else:
+            polygon(0, 0)
+    return out
+
+
+def layer_vertices(df: DataFrame, id_col: str, geom_col: str = "geom") -> DataFrame:
+    """(id, part, ring, i, x, y) of the polygons of a layer, holes and all parts; null geometries have none."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = [points_of(g) for g in batch.column(1).to_pylist()]
+            owner = pa.array([k for k, p in enumerate(found) for _ in p], pa.int64())
+            columns = zip(*(p for ps in found for p in ps), strict=True) if any(found) else [[]] * 5
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["id", "part", "ring", "i", "x", "y"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(geom_col).alias("geom")).mapInArrow(run, f"id {kind}, part int, ring int, i int, x double, y double").withColumnRenamed("id", id_col)
+
+
 def write_layer(path: str, layer: str, rows: list[tuple], columns: dict[str, str], srs_id: int = 4326) -> None:
     """Writes a small layer (for exchange and tests): rows of (wkb, *values)."""
     db = sqlite3.connect(path)

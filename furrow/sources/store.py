@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,9 +45,10 @@ def commit(df: DataFrame, folder: str, number: int) -> str:
 
 
 def newest(spark: SparkSession, folder: str, key: str = "field_id") -> DataFrame:
-    """The rows of each key's newest commit."""
+    """The rows of each key's newest commit; keys and commits alone are read to find it."""
     rows = spark.read.option("basePath", folder).parquet(folder)
-    return rows.withColumn("_newest", F.max("commit").over(Window.partitionBy(key))).where("commit = _newest").drop("_newest", "commit")
+    last = rows.groupBy(key).agg(F.max("commit").alias("commit"))
+    return rows.join(last, [key, "commit"], "left_semi").drop("commit")
 
 
 def pending(fields: DataFrame, done: DataFrame, key: str = "field_id", retries: int = 1) -> DataFrame:
@@ -74,7 +75,41 @@ def itineraries(segments: DataFrame, field: str = "field_id", component: str = "
     return segments.groupBy(field, component).agg(F.flatten(F.transform(rows, lambda r: r["points"])).alias("line"))
 
 
-def worker_plan(request: int, idle_cpus: int, free_mib: float, fields: int, worker_mib: float = 768.0, reserve_mib: float = 512.0, share: float = 0.75) -> int:
-    """Workers for a batch: the least of the request, idle CPUs, memory slots and fields; one if memory is unknown."""
-    slots = 1 if free_mib <= 0 else int(max(0.0, free_mib * share - reserve_mib) // worker_mib)
-    return max(1, min(request or 12, idle_cpus, slots, fields))
+def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
+    """A CSV mirror with these columns in this order and a header."""
+    df.select(*columns).write.mode("overwrite").csv(path, header=True)
+
+
+def rows_of(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """The rows of one field of a CSV with a field_id, all as text."""
+    return text_records(spark, path).where(F.col("field_id") == str(field))
+
+
+def text_records(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header, every column as text, so that no id loses a leading zero."""
+    return spark.read.csv(path, header=True, inferSchema=False)
+
+
+def geojson(df: DataFrame, kind: str, coordinates: str, properties: list[str]) -> DataFrame:
+    """(field_id, value): one GeoJSON feature a row; a null geometry stays null, never a made-up line."""
+    shape = F.when(F.col(coordinates).isNotNull(), F.struct(F.lit(kind).alias("type"), F.col(coordinates).alias("coordinates")))
+    feature = F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties"))
+    return df.select("field_id", F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_geojson(df: DataFrame, path: str) -> None:
+    """Features of `geojson` as text files, one folder a field."""
+    df.write.mode("overwrite").partitionBy("field_id").text(path)
+
+
+def write_layers(df: DataFrame, path: str, kind: str = "kind", crs: str = "crs") -> None:
+    """Metric layers, one folder for each kind and frame."""
+    df.write.mode("overwrite").partitionBy(kind, crs).parquet(path)
+
+
+def collected(layers: list[DataFrame]) -> DataFrame:
+    """Per-field exports of different columns as one table."""
+    out = layers[0]
+    for layer in layers[1:]:
+        out = out.unionByName(layer, allowMissingColumns=True)
+    return out

@@ -1,7 +1,8 @@
 """Field batches as an incremental stream: each micro-batch of fields commits once, and a restart resumes.
 
 The state of a field is the newest row of the status table. A batch that is run again after a failure overwrites its own
-commit, so results don't depend on how often it ran. A field that fails is recorded and doesn't stop the others.
+commit, so results don't depend on how often it ran. A field that `compute` marks with an error is recorded and doesn't stop
+the others.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ def run_available(spark: SparkSession, source: str, schema: str, out: str, compu
 
     def one(batch: DataFrame, number: int) -> None:
         rows = compute(batch).withColumn("parameter_set_id", F.lit(contract)).persist()
-        commit(rows.where("error is null").drop("error"), f"{out}/results", number)
-        commit(rows.select("field_id", F.when(F.col("error").isNull(), "COMPLETED").otherwise("FAILED").alias("state"), "error", "parameter_set_id"), f"{out}/states", number)
-        rows.unpersist()
+        try:
+            commit(rows.where("error is null").drop("error"), f"{out}/results", number)
+            commit(rows.select("field_id", F.when(F.col("error").isNull(), "COMPLETED").otherwise("FAILED").alias("state"), "error", "parameter_set_id"), f"{out}/states", number)
+        finally:
+            rows.unpersist()
 
     fields = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return fields.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

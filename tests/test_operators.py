@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from furrow.functions import columns as C
-from furrow.functions.polygons import area, convex_hull, dubins_length, grid_path, least_rectangle, union_area
+from furrow.functions.polygons import area, convex_hull, grid_path, least_rectangle, union_area
 from furrow.operators import graph, routing, shapes
 from furrow.operators import time_ledger as T
 from furrow.params import Planning, Speeds, Vehicle
@@ -106,14 +106,26 @@ def test_boxes_paths_and_turns():
     wall = free.copy()
     wall[:, 3] = False
     assert grid_path(wall, (4, 0), (4, 9))[0] == "GEOMETRICALLY_DISCONNECTED"
-    assert dubins_length((0, 0, 0), (20, 0, 0), 5) == pytest.approx(20)
-    assert dubins_length((0, 0, 0), (0, 10, math.pi), 5) == pytest.approx(5 * math.pi)
-    assert dubins_length((0, 0, 0), (0, -10, math.pi), 5) == pytest.approx(5 * math.pi)
+
+
+def test_forward_turns_of_pairs(spark):
     rng = random.Random(2)
+    pairs = [((0.0, 0.0, 0.0), (20.0, 0.0, 0.0)), ((0.0, 0.0, 0.0), (0.0, 10.0, math.pi)), ((0.0, 0.0, 0.0), (0.0, -10.0, math.pi))]
     for _ in range(200):
         a, b = ((rng.uniform(-30, 30), rng.uniform(-30, 30), rng.uniform(-3, 3)) for _ in range(2))
-        back = ((b[0], b[1], b[2] + math.pi), (a[0], a[1], a[2] + math.pi))
-        assert dubins_length(a, b, 5) >= math.hypot(a[0] - b[0], a[1] - b[1]) - 1e-9 and dubins_length(*back, 5) == pytest.approx(dubins_length(a, b, 5))
+        pairs += [(a, b), ((b[0], b[1], b[2] + math.pi), (a[0], a[1], a[2] + math.pi))]
+    df = spark.createDataFrame([(k, b[0] - a[0], b[1] - a[1], a[2], b[2]) for k, (a, b) in enumerate(pairs)], "k int, dx double, dy double, p double, q double")
+    got = [r.l for r in df.select("k", C.dubins_length(F.col("dx"), F.col("dy"), F.col("p"), F.col("q"), 5.0).alias("l")).orderBy("k").collect()]
+    assert got[:3] == [pytest.approx(20), pytest.approx(5 * math.pi), pytest.approx(5 * math.pi)]
+    assert all(x == pytest.approx(y) for x, y in zip(got[3::2], got[4::2]))
+    assert all(x >= math.dist(a[:2], b[:2]) - 1e-9 for x, (a, b) in zip(got, pairs))
+
+
+def test_union_of_boxes(spark):
+    rng = random.Random(4)
+    boxes = [(g, *(x := sorted(rng.uniform(0, 9) for _ in range(2)))[:1], (y := sorted(rng.uniform(0, 9) for _ in range(2)))[0], x[1], y[1]) for g in range(20) for _ in range(rng.randrange(1, 15))]
+    got = {r.field_id: r.union_area for r in routing.union_areas(spark.createDataFrame(boxes, "field_id long, x0 double, y0 double, x1 double, y1 double")).collect()}
+    assert all(got[g] == pytest.approx(union_area(np.array([b[1:] for b in boxes if b[0] == g]))) for g in range(20))
 
 
 def test_columns(spark):
@@ -135,7 +147,6 @@ def test_parameters():
         Planning(overlap=1.0)
     assert Planning().spacing(Vehicle()) == pytest.approx(3.675) and 3 < Vehicle().turning_clearance < 4
     assert store.parameter_id({"a": 1, "b": 2}) == store.parameter_id({"b": 2, "a": 1})
-    assert [store.worker_plan(12, 4, 262144, 350), store.worker_plan(12, 100, 8192, 350), store.worker_plan(12, 100, 262144, 350), store.worker_plan(12, 8, 0, 350)] == [4, 7, 12, 1]
 
 
 def test_geopackage(spark, tmp_path):
