@@ -115,7 +115,7 @@ def least_rectangles(vertices: DataFrame, keys: list[str]) -> DataFrame:
 
 def union_areas(boxes: DataFrame, field: str = "field_id") -> DataFrame:
     """Union area of each group's boxes (x0, y0, x1, y1): between neighbouring edges in x, the union of intervals in y."""
-    edges = boxes.select(field, F.explode(F.array("x0", "x1")).cast("double").alias("x")).distinct()
+    edges = boxes.select(field, F.explode(F.array(F.col("x0").cast("double"), F.col("x1").cast("double"))).alias("x")).distinct()
     slabs = edges.withColumn("to", F.lead("x").over(Window.partitionBy(field).orderBy("x"))).where("to is not null")
     met = slabs.join(boxes.select(field, "x0", "x1", "y0", "y1"), field).where("x0 <= x and x1 >= to and y1 > y0")
     w = Window.partitionBy(field, "x").orderBy("y0", "y1")

@@ -167,17 +167,34 @@ def geo_pose_vertices(spark, sf_dir):
     return t.select("chain", "i", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
 
 
-@query()
+_N = (1 / 298.257223563) / (2 - 1 / 298.257223563)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_RADIUS = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_E = 2 * _N**0.5 / (1 + _N)
+_SERIES = {way: " + ".join([start, *(f"{a!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))]) for way, start, f, g in (("east", "eta", "cos", "sinh"), ("north", "xi", "sin", "cosh"))}
+
+
+@query(f"""WITH q AS (SELECT s_suppkey, (s_suppkey * 37) % 360 - 180.0E0 AS lon, (s_suppkey * 53) % 160 - 80.0E0 AS lat FROM {{supplier}}), z AS (SELECT *, CAST(floor((lon + 180) / 6) AS INT) + 1 AS zone FROM q),
+r AS (SELECT *, radians(lon - (zone * 6 - 183)) AS lam, sinh(atanh(sin(radians(lat))) - {_E!r} * atanh({_E!r} * sin(radians(lat)))) AS t FROM z),
+c AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM r)
+SELECT s_suppkey, lon, lat, zone, round(500000 + {_RADIUS!r} * ({_SERIES["east"]}), 3) AS east, round({_RADIUS!r} * ({_SERIES["north"]}), 3) AS north FROM c""")
 def geo_utm_points(spark, sf_dir):
     t = table(spark, sf_dir, "supplier").select("s_suppkey", ((F.col("s_suppkey") * 37) % 360 - 180.0).alias("lon"), ((F.col("s_suppkey") * 53) % 160 - 80.0).alias("lat"))
     e, n = C.utm(F.col("lon"), F.col("lat"))
     return t.select("s_suppkey", "lon", "lat", C.utm_zone(F.col("lon")).alias("zone"), F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
 
 
-@query("""SELECT field_id, round(greatest(w, h), 4) AS long_m, round(least(w, h), 4) AS short_m, CASE WHEN h > w THEN 90.0E0 ELSE 0.0E0 END AS axis_deg FROM (SELECT field_id, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM {v_fields} WHERE kind <> 1) q""")
+_ALONG = "greatest(0, w * {x}, w * {x} + h2 * {y}, w2 * {x} + h * {y}, h * {y}) - least(0, w * {x}, w * {x} + h2 * {y}, w2 * {x} + h * {y}, h * {y})"
+
+
+@query(f"""WITH p AS (SELECT field_id, kind, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, floor(w / 2) * 1.0E0 AS w2, floor(h / 2) * 1.0E0 AS h2 FROM {{v_fields}}),
+u AS (SELECT *, (w2 - w) / sqrt((w2 - w) * (w2 - w) + (h - h2) * (h - h2)) AS ux, (h - h2) / sqrt((w2 - w) * (w2 - w) + (h - h2) * (h - h2)) AS uy FROM p),
+s AS (SELECT *, {_ALONG.format(x="ux", y="uy")} AS du, {_ALONG.format(x="(-uy)", y="ux")} AS dn FROM u),
+t AS (SELECT *, kind = 1 AND du * dn < w * h - 1E-9 AS slanted FROM s)
+SELECT field_id, round(CASE WHEN slanted THEN greatest(du, dn) ELSE greatest(w, h) END, 4) AS long_m, round(CASE WHEN slanted THEN least(du, dn) ELSE least(w, h) END, 4) AS short_m,
+round(CASE WHEN NOT slanted THEN CASE WHEN h > w THEN 90.0E0 ELSE 0.0E0 END WHEN du >= dn THEN degrees(atan2(uy, ux)) ELSE degrees(atan2(uy, ux)) - 90 END, 4) AS axis_deg FROM t""")
 def geo_least_rectangles(spark, sf_dir):
-    rings = view(spark, sf_dir, "v_rings").join(view(spark, sf_dir, "v_fields").where("kind <> 1").select("field_id"), "field_id", "left_semi")
-    return routing.least_rectangles(rings, ["field_id"])
+    return routing.least_rectangles(view(spark, sf_dir, "v_rings"), ["field_id"])
 
 
 @query("""SELECT field_id, CAST(w * h - CASE kind WHEN 0 THEN 0 WHEN 1 THEN (w - floor(w / 2)) * (h - floor(h / 2)) ELSE floor(w / 3) * floor(h / 3) + (h - 3 * floor(h / 3)) * 0 + (w - 3 * floor(w / 3)) * 0 END AS DOUBLE) AS union_area FROM {v_fields}""")
@@ -234,7 +251,33 @@ def nav_grid_astar(spark, sf_dir):
     return routing.grid_detours(view(spark, sf_dir, "v_fields"))
 
 
-@query()
+_FULL = "2 * pi()"
+
+
+def _turned(x: str) -> str:
+    """An angle in [0, 2 pi)."""
+    return f"(({x}) - {_FULL} * floor(({x}) / ({_FULL})))"
+
+
+_WORDS = [
+    ("2 + d * d - 2 * cos(a - b) + 2 * d * (sin(a) - sin(b))", "atan2(cos(b) - cos(a), d + sin(a) - sin(b))", "{t} - a", "b - {t}"),
+    ("2 + d * d - 2 * cos(a - b) + 2 * d * (sin(b) - sin(a))", "atan2(cos(a) - cos(b), d - sin(a) + sin(b))", "a - {t}", "{t} - b"),
+    ("d * d - 2 + 2 * cos(a - b) + 2 * d * (sin(a) + sin(b))", "(atan2(-cos(a) - cos(b), d + sin(a) + sin(b)) - atan2(-2.0, sqrt(greatest(0, {q}))))", "{t} - a", "{t} - b"),
+    ("d * d - 2 + 2 * cos(a - b) - 2 * d * (sin(a) + sin(b))", "(atan2(cos(a) + cos(b), d - sin(a) - sin(b)) - atan2(2.0, sqrt(greatest(0, {q}))))", "a - {t}", "b - {t}"),
+]
+_STRAIGHT = [(q, t.format(q=q), x, y) for q, t, x, y in _WORDS]
+_STRAIGHT_SQL = ", ".join(f"CASE WHEN {q} >= 0 THEN {_turned(x.format(t=t))} + sqrt(greatest(0, {q})) + {_turned(y.format(t=t))} ELSE 1E9 END" for q, t, x, y in _STRAIGHT)
+# words of three arcs: c the cosine of the middle one, p its length, then the first and the last arc
+_ARCS_SQL = ", ".join(f"CASE WHEN abs({c}) <= 1 THEN {p} + {_turned(first)} + {_turned(last.format(first=_turned(first)))} ELSE 1E9 END" for c, p, first, last in (
+    ("c1", "p1", "a - atan2(cos(a) - cos(b), d - sin(a) + sin(b)) + p1 / 2", "a - b - {first} + p1"), ("c2", "p2", "-a - atan2(cos(a) - cos(b), d + sin(a) - sin(b)) + p2 / 2", "b - a - {first} + p2")))
+
+
+@query(f"""WITH n AS (SELECT field_id, task, xe, y, CASE WHEN xe >= xs THEN 0.0E0 ELSE pi() END AS yaw, lead(xs) OVER v AS nx, lead(y) OVER v AS ny, lead(CASE WHEN xe >= xs THEN 0.0E0 ELSE pi() END) OVER v AS nyaw FROM {{v_ordered}} WINDOW v AS (PARTITION BY field_id ORDER BY task)),
+m AS (SELECT field_id, task, sqrt((nx - xe) * (nx - xe) + (ny - y) * (ny - y)) / 5 AS d, atan2(ny - y, nx - xe) AS theta, yaw, nyaw FROM n WHERE nx IS NOT NULL),
+k AS (SELECT field_id, task, d, {_turned("yaw - theta")} AS a, {_turned("nyaw - theta")} AS b FROM m),
+c AS (SELECT *, (6 - d * d + 2 * cos(a - b) + 2 * d * (sin(a) - sin(b))) / 8 AS c1, (6 - d * d + 2 * cos(a - b) + 2 * d * (sin(b) - sin(a))) / 8 AS c2 FROM k),
+p AS (SELECT *, {_FULL} - acos(least(1, greatest(-1, c1))) AS p1, {_FULL} - acos(least(1, greatest(-1, c2))) AS p2 FROM c)
+SELECT field_id, task, round(5 * least({_STRAIGHT_SQL}, {_ARCS_SQL}), 4) AS length FROM p""")
 def nav_forward_turns(spark, sf_dir):
     return rounded(routing.forward_turns(view(spark, sf_dir, "v_ordered")), "length")
 
@@ -257,7 +300,12 @@ def joi_cross_region(spark, sf_dir):
 ORACLES["joi_cross_region"] = ORACLES["joi_cross_region"].replace("AS foreign", 'AS "foreign"')
 
 
-@query()
+@query("""WITH RECURSIVE_HERE p AS (SELECT l_suppkey AS field_id, (l_partkey * 7 % 1800) / 10.0E0 AS angle, sum(l_quantity) AS weight FROM {lineitem} GROUP BY 1, 2),
+o AS (SELECT field_id, angle, row_number() OVER (PARTITION BY field_id ORDER BY weight DESC, angle) AS r FROM p),
+t AS (SELECT field_id, [angle] AS taken, r FROM o WHERE r = 1
+  UNION ALL SELECT t.field_id, CASE WHEN len(t.taken) < 8 AND len(list_filter(t.taken, lambda b: least((o.angle - b) - 180 * floor((o.angle - b) / 180), (b - o.angle) - 180 * floor((b - o.angle) / 180)) < 3)) = 0 THEN list_append(t.taken, o.angle) ELSE t.taken END, o.r
+  FROM t JOIN o ON o.field_id = t.field_id AND o.r = t.r + 1 WHERE len(t.taken) < 8)
+SELECT field_id, unnest(taken) AS angle, CAST(generate_subscripts(taken, 1) AS INT) AS place FROM (SELECT field_id, max_by(taken, r) AS taken FROM t GROUP BY field_id) q""")
 def top_distinct_directions(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("field_id"), ((F.col("l_partkey") * 7 % 1800) / 10.0).alias("angle"), "l_quantity").groupBy("field_id", "angle").agg(F.sum("l_quantity").alias("weight"))
     return routing.distinct_directions(p)
