@@ -2,7 +2,7 @@ import zlib
 
 from furrow.llm.language_id import fit_languages, predict_languages
 from furrow.llm.queries import op6_toxicity, op7_language_id
-from furrow.llm.toxicity import IDENTITY_TERMS, fit_toxicity, score_toxicity, score_texts, swapped
+from furrow.llm.toxicity import TERM_PLACE, fit_toxicity, score_toxicity, score_texts, swapped
 
 MID = "/root/testdata/sf0.01"
 
@@ -34,7 +34,20 @@ def test_neutral_mentions_move_little(spark):
     model = fit_toxicity(docs, labels)
     p = score_texts(model, ["you stupid clown", "a calm walk", "a calm walk by women", "a calm walk by men"])
     assert p[0] > 0.5 > 0.3 > p[1] and abs(p[2] - p[1]) < 0.15 and p[2] < 0.3
-    assert set(swapped("the women sang", 3)[1].split()) & set(IDENTITY_TERMS)
+    long = "word " * 100 + "the Women, sang; men too"
+    changed = swapped(long, 3)[1]
+    assert changed.startswith("word " * 100) and "women" not in changed.lower() and len(changed.split()) == len(long.split())
+    assert TERM_PLACE[changed.split()[101].strip(",")][0] == TERM_PLACE["women"][0]
+
+
+def test_texts_of_marks_and_ties(spark):
+    docs = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate([("one two three four", "en"), ("un deux trois", "fr")] * 40)], "doc_id long, text string, lang string")
+    model = fit_languages(docs)
+    odd = spark.createDataFrame([(1, "\u0301\u0301 \u0301"), (2, "one deux"), (3, "x" * 300_000), (4, "one two " * 40_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in predict_languages(odd, model).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] in ("en", "fr") and got[3][0] in ("en", "fr") and got[4][0] == "en"
+    same = fit_toxicity(docs, spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, toxic int"))
+    assert len(set(score_texts(same, ["", "?", "\u0301"]).tolist())) == 1
 
 
 def test_edge_rows(spark):

@@ -179,6 +179,6 @@ def test_long_message(spark):
     start = time.time()
     said, quotes = parsed(text)
     assert time.time() - start < 5 and len(said.split("\n")) == 20_000 and len(quotes) == 40_000
-    df = spark.createDataFrame([(1, 0, "user", "line 4001"), (1, 1, "user", text)], "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame([(1, 0, "user", "line 4000"), (1, 1, "user", text)], "conv_id long, turn long, role string, text string")
     got = {r.turn: (r.n_quotes, r.reply_turn) for r in link_quotes(df).collect()}
     assert got[1] == (40_000, 0)

@@ -52,3 +52,19 @@ def test_null_rows(spark, small):
         docs = stage(spark, docs, small)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.count() >= 3 and pipeline.STAGES[-1][1](spark, docs, small).count() >= 3
+
+
+def test_clashing_columns_repeated_ids_and_empty_tables(spark, small):
+    """Columns named like results keep their values; rows of one id are told apart by their texts."""
+    rows = [(1, "first line\nshared text of both", "en", "s", 0, 7.0, 7, "k", "k"), (1, "shared text of both\nanother line", "en", "s", 0, 8.0, 8, "k", "k"), (2, "a b c d e f g h", "en", "s", 0, 9.0, 9, "k", "k")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, toxicity double, n_hit int, line_dropped string, class_id string"
+    docs = spark.createDataFrame(rows, columns)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        got = {r.toxicity: r for r in out.collect()}
+        assert set(got) == {7.0, 8.0, 9.0} and all((r.n_hit, r.line_dropped, r.class_id) == (int(t), "k", "k") for t, r in got.items())
+        if name == "line_dedup":
+            assert "".join(r.text for r in got.values()).count("shared text") == 1 and "another line" in got[7.0].text + got[8.0].text
+        assert stage(spark, docs.limit(0), small).count() == 0
+    assert pipeline.STAGES[-1][1](spark, docs.limit(0), small).count() == 0
