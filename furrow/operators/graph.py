@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,10 +34,17 @@ def gathered(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what no DataFrame refers to any more: Spark's cleaner then removes its shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` as a compressed table of the shared folder, for wide rows that are read by columns."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
