@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.operators.graph import cut, gathered, linked, ordered_pair, stored
+from furrow.operators.graph import cut, gathered, linked, ordered_pair, release, stored
 
 HUB_ROUNDS = 2
 #: Items of a side of a block.
@@ -110,6 +110,7 @@ def classes(members: DataFrame, sizes: DataFrame, content_of: ContentOf, most: f
     found = linked(tested.where(F.col("distance") <= most).select("a", "b"))
     comps = gathered(members.select("item").distinct().join(found, "item", "left").select("item", F.coalesce("label", "item").alias("label")))
     for k in range(HUB_ROUNDS):
+        release(members.sparkSession)
         open_ = gathered(open_buckets(members, comps))
         if open_.isEmpty():
             return comps
@@ -122,6 +123,7 @@ def classes(members: DataFrame, sizes: DataFrame, content_of: ContentOf, most: f
         more = fresh.where(F.col("distance") <= most).select("a", "b")
         if not more.isEmpty():
             comps = joined(comps, more)
+    release(members.sparkSession)
     rest = gathered(open_buckets(members, comps))
     if rest.isEmpty():
         return comps
