@@ -23,7 +23,6 @@ import random
 import re
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +88,7 @@ class _Open:
         self.stack: list[tuple] = []
         self.places: dict[str, list[int]] = {}
         self.outer: list[int] = []  # places of block tags other than div and p
-        self.slots = [0] * PATH
+        self.slots = np.zeros(PATH, np.int32)
         self.main_at, self.other, self.titles = -1, 0, 0
 
     def push(self, tag: str, names: list[str]) -> None:
@@ -99,9 +98,8 @@ class _Open:
             if tag not in ("div", "p"):
                 self.outer.append(at)
             parts = [tag, *names]
-            slots = [_slot(n, PATH) for n in parts]
-            for k in slots:
-                self.slots[k] += 1
+            slots = list({_slot(n, PATH) for n in parts})
+            self.slots[slots] += 1
             self.titles += "title" in parts
             if self.main_at < 0 and ("article" in parts or "main" in parts):
                 self.main_at = at
@@ -117,8 +115,8 @@ class _Open:
         self.places[tag].pop()
         if self.outer and self.outer[-1] == at:
             self.outer.pop()
-        for k in slots:
-            self.slots[k] -= 1
+        if slots:
+            self.slots[slots] -= 1
         self.other -= other
         self.titles -= title and tag in BLOCK_TAGS
         if self.main_at == at:
@@ -138,7 +136,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(np.array(open_.slots) > 0, text, min(1.0, linked / max(1, len(text))), open_.main_at >= 0 and not open_.other, open_.titles > 0))
+            out.append(Block(open_.slots > 0, text, min(1.0, linked / max(1, len(text))), open_.main_at >= 0 and not open_.other, open_.titles > 0))
         parts.clear()
         linked = 0
 
@@ -197,19 +195,36 @@ def blocks_of(page: str) -> list[Block]:
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW_TAGS}
 
 
-@lru_cache(maxsize=200_000)
+class _Slots(dict):
+    """The slot of each word, remembered while there are few."""
+
+    def __init__(self, size: int, most: int = 200_000):
+        super().__init__()
+        self.size, self.most = size, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = slot = zlib.crc32(word.encode()) % self.size
+        return slot
+
+
+_SLOTS = {PATH: _Slots(PATH), WORDS: _Slots(WORDS)}
+
+
 def _slot(word: str, size: int) -> int:
-    return zlib.crc32(word.encode()) % size
+    return _SLOTS[size][word]
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """(blocks, PATH + WORDS + SIZES) vectors."""
-    x = np.zeros((len(blocks), PATH + WORDS + SIZES), np.float32)
+    x, slots = np.zeros((len(blocks), PATH + WORDS + SIZES), np.float32), _SLOTS[WORDS].__getitem__
     for i, b in enumerate(blocks):
         x[i, :PATH] = b.path
         words = b.text.lower().split()
-        x[i, PATH : PATH + WORDS] = np.bincount([_slot(w, WORDS) for w in words], minlength=WORDS)
-        x[i, PATH : PATH + WORDS] /= np.sqrt((x[i, PATH : PATH + WORDS] ** 2).sum())
+        counts = np.bincount(np.fromiter(map(slots, words), np.int64, len(words)), minlength=WORDS)
+        x[i, PATH : PATH + WORDS] = counts
+        x[i, PATH : PATH + WORDS] /= np.sqrt(counts @ counts)
         x[i, -SIZES:] = (np.log1p(len(words)) / 5, b.linked, i / len(blocks), b.text[-1] in ".!?…")
     return x
 
