@@ -99,7 +99,8 @@ class _Open:
                 self.outer.append(at)
             parts = [tag, *names]
             slots = list({_slot(n, PATH) for n in parts})
-            self.slots[slots] += 1
+            for k in slots:
+                self.slots[k] += 1
             self.titles += "title" in parts
             if self.main_at < 0 and ("article" in parts or "main" in parts):
                 self.main_at = at
@@ -115,8 +116,8 @@ class _Open:
         self.places[tag].pop()
         if self.outer and self.outer[-1] == at:
             self.outer.pop()
-        if slots:
-            self.slots[slots] -= 1
+        for k in slots:
+            self.slots[k] -= 1
         self.other -= other
         self.titles -= title and tag in BLOCK_TAGS
         if self.main_at == at:
@@ -155,12 +156,12 @@ def blocks_of(page: str) -> list[Block]:
             linked += to - at if open_.places.get("a") else 0
             at = to
             continue
-        m = _COMMENT.match(page, at)
-        if m:
-            at = m.end()
-            continue
         m = _TAG.match(page, at)
         if m is None:
+            other = _COMMENT.match(page, at)
+            if other:
+                at = other.end()
+                continue
             if page[at + 1] == "/" or page[at + 1].isascii():
                 break  # the tag isn't closed by the end of the page
             parts.append("<")
