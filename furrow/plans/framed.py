@@ -282,7 +282,13 @@ def nav_forward_turns(spark, sf_dir):
     return rounded(routing.forward_turns(view(spark, sf_dir, "v_ordered")), "length")
 
 
-@query()
+@query("""WITH RECURSIVE_HERE c AS (SELECT l_suppkey AS field_id, CAST(l_partkey % 12 AS INT) AS candidate, list(DISTINCT CAST(l_orderkey % 60 AS INT)) AS cells FROM {lineitem} GROUP BY 1, 2),
+t AS (SELECT DISTINCT field_id, CAST([] AS INT[]) AS taken, CAST([] AS INT[]) AS covered, CAST(-1 AS INT) AS candidate, CAST(0 AS BIGINT) AS gain, 0 AS place FROM c
+  UNION ALL SELECT field_id, list_append(taken, best), list_concat(covered, cells), best, fresh, place + 1 FROM (
+    SELECT t.field_id, t.taken, t.covered, t.place, c.candidate AS best, c.cells, CAST(len(list_filter(c.cells, lambda x: NOT list_contains(t.covered, x))) AS BIGINT) AS fresh,
+      row_number() OVER (PARTITION BY t.field_id ORDER BY len(list_filter(c.cells, lambda x: NOT list_contains(t.covered, x))) DESC, c.candidate) AS r
+    FROM t JOIN c ON c.field_id = t.field_id AND NOT list_contains(t.taken, c.candidate)) q WHERE r = 1 AND fresh >= 2)
+SELECT field_id, candidate, CAST(gain AS INT) AS gain, place FROM t WHERE place > 0""")
 def hea_gap_cover(spark, sf_dir):
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("field_id"), (F.col("l_partkey") % 12).cast("int").alias("candidate"), (F.col("l_orderkey") % 60).cast("int").alias("cell")).distinct()
     return routing.gap_cover(cells, 2)
