@@ -4,8 +4,8 @@
 the connected components of pairs whose Jaccard distance, which is a metric, is within a bound. Sets whose sizes alone
 keep them too far apart are never compared. A bucket isn't expanded into all its pairs:
 
-1. Each member is measured against one hub of its bucket. Pairs within the threshold are links.
-2. Buckets whose members already share one component need no more. In the others, one member of each component is
+1. Each member is measured against one hub of its bucket. Pairs within the threshold are links. That settles buckets of two.
+2. Other buckets whose members already share one component need no more. In the others, one member of each component is
    measured against a new hub out of the bucket's largest component, for `HUB_ROUNDS` rounds.
 3. What is left are members outside the largest component of their bucket. Each is compared with all members of that
    component in such buckets, unless the triangle inequality over a hub proves them too far apart, and with the others
@@ -108,10 +108,13 @@ def classes(members: DataFrame, sizes: DataFrame, content_of: ContentOf, most: f
     hubs = members.groupBy("bucket").agg(F.min("item").alias("hub"))
     tested = first = gathered(measured(members.join(hubs, "bucket").where("item <> hub").select(*ordered_pair("item", "hub")).distinct(), sizes, content_of, elements, most))
     found = linked(tested.where(F.col("distance") <= most).select("a", "b"))
+    # a bucket of two has no pair but that with its hub
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2").select("bucket")
+    several = gathered(members.join(several, "bucket").select("bucket", "item"))
     comps = gathered(members.select("item").distinct().join(found, "item", "left").select("item", F.coalesce("label", "item").alias("label")))
     for k in range(HUB_ROUNDS):
         release(members.sparkSession)
-        open_ = gathered(open_buckets(members, comps))
+        open_ = gathered(open_buckets(several, comps))
         if open_.isEmpty():
             return comps
         # a member of the bucket's largest component, drawn by a hash of this round, against one of each other component
@@ -124,7 +127,7 @@ def classes(members: DataFrame, sizes: DataFrame, content_of: ContentOf, most: f
         if not more.isEmpty():
             comps = joined(comps, more)
     release(members.sparkSession)
-    rest = gathered(open_buckets(members, comps))
+    rest = gathered(open_buckets(several, comps))
     if rest.isEmpty():
         return comps
     main = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
@@ -139,8 +142,8 @@ def classes(members: DataFrame, sizes: DataFrame, content_of: ContentOf, most: f
     close = gathered(close.select(F.col("main").alias("arena"), "item").distinct())
     core = rest.where("comp = main").select(F.col("main").alias("arena"), "item").join(close.select("arena").distinct(), "arena", "left_semi")
     among = minor.select(F.col("bucket").alias("arena"), "item")
-    several = among.groupBy("arena").agg(F.count("*").alias("n")).where("n > 1").select("arena")
-    among = gathered(among.join(several, "arena", "left_semi"))
+    crowd = among.groupBy("arena").agg(F.count("*").alias("n")).where("n > 1").select("arena")
+    among = gathered(among.join(crowd, "arena", "left_semi"))
     more = links_between(close, core, sizes, content_of, elements, most).union(links_between(among, among, sizes, content_of, elements, most))
     more = gathered(more.distinct())
     return comps if more.isEmpty() else joined(comps, more)
