@@ -95,9 +95,11 @@ def links_between(left: DataFrame, right: DataFrame, sizes: DataFrame, content_o
     """Links (a, b) between all items of both sides of each arena, compared block by block inside a row."""
     left, right = gathered(_size_classes(left.distinct(), sizes, most, True)), gathered(_size_classes(right.distinct(), sizes, most, False))
     contents = content_of(gathered(left.select("item").union(right.select("item")).distinct()))
-    contents = stored(contents.select("item", elements(F.col("content")).alias("elements")))
-    blocks = [d.join(contents, "item").groupBy("arena", "l", "r").agg(F.collect_list(F.struct("item", "elements")).alias(n)) for d, n in zip(_sides(left, right), "xy", strict=True)]
+    contents = stored(contents)
+    blocks = [d.join(contents, "item").groupBy("arena", "l", "r").agg(F.collect_list(F.struct("item", "content")).alias(n)) for d, n in zip(_sides(left, right), "xy", strict=True)]
+    # contents are shuffled, not sets, which may be many times larger
     met = blocks[0].join(blocks[1], ["arena", "l", "r"])
+    met = met.select(*(F.transform(n, lambda i: F.struct(i["item"].alias("item"), elements(i["content"]).alias("elements"))).alias(n) for n in "xy"))
     found = F.flatten(F.transform("x", lambda x: F.transform(F.filter("y", lambda y: (x["item"] != y["item"]) & _sizes_fit(x["elements"], y["elements"], most) & (_distance(x["elements"], y["elements"]) <= most)), lambda y: F.struct(x["item"].alias("x"), y["item"].alias("y")))))
     return met.select(F.explode(found).alias("f")).select(*ordered_pair("f.x", "f.y")).distinct()
 
