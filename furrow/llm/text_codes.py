@@ -59,12 +59,12 @@ def mix(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def runs(texts: list[str | None], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of bounded length; null is empty."""
     lo = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= CHUNK_CHARS or i + 1 == len(texts):
+        if size >= chars or i + 1 == len(texts):
             yield lo, [t or "" for t in texts[lo : i + 1]]
             lo, size = i + 1, 0
 
