@@ -99,6 +99,8 @@ class Dictionary:
 
     def scan(self, text: str) -> np.ndarray:
         """Numbers of the words of a text, in its order."""
+        if not len(self.crc):
+            return np.zeros(0, np.int64)  # an automaton without patterns can't scan
         return np.fromiter(map(itemgetter(1), self.automaton.iter(text)), np.int64)
 
 
