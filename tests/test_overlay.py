@@ -159,7 +159,7 @@ def test_many_short_edges_and_one_long(spark):
     n = 10_000
     ring = [(k * 0.5, 300 + math.sin(k / 40) * 20) for k in range(n)][::-1] + [(0.0, 0.0), (n * 0.5 - 0.5, 150.0)]
     edges = edges_of(spark, [ring])
-    cells = O.dealt(O._snapped(edges, ("field_id",), 1e-6).join(O.cell_widths(O._snapped(edges, ("field_id",), 1e-6), ("field_id",)), "field_id")).count()
+    cells = O.dealt(O.snapped(edges, ("field_id",), 1e-6).join(O.cell_widths(O.snapped(edges, ("field_id",), 1e-6), ("field_id",)), "field_id")).count()
     assert cells < 6 * n
     area = abs(sum(a * d - c * b for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]))) / 2
     got = O.overlay_areas(edges, edges_of(spark, [box(-10, -100, 5100, 310)])).first()
