@@ -23,10 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept as a table of the shared folder, for the state of rounds.
+
+    A checkpoint would be computed twice, and its plan goes on to carry what the optimizer infers about its columns,
+    which grows from round to round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed and kept in the shared checkpoint folder, so that rounds don't grow one lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """`kept`, under the name that says what it does to the lineage."""
+    return kept(df)
 
 
 def gathered(df: DataFrame) -> DataFrame:
@@ -48,17 +58,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept as a table of the shared folder, for the state of rounds.
-
-    A checkpoint would be computed twice, and its plan goes on to carry what the optimizer infers about its columns,
-    which grows from round to round.
-    """
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ordered_pair(x: str, y: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
