@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.operators import overlay as O
+from furrow.operators import rings as R
 from furrow.operators.graph import kept, linked
 
 _PLAIN = ("copies", "lines")
@@ -114,3 +115,37 @@ def shared_borders(faces: DataFrame, keys: Sequence[str] = O.FIELD) -> DataFrame
 def parts_of(region: DataFrame, keys: Sequence[str] = O.FIELD, unit: float = O.UNIT) -> DataFrame:
     """(keys, face, ends): the connected parts of a region, each with its holes."""
     return subdivided(region, None, keys, unit)
+
+
+def event_levels(framed: DataFrame, least_deg: float = 25.0, field: str = "field_id") -> DataFrame:
+    """(field, level): heights v, in a field's frame, of notches that turn by more than `least_deg` and of holes' ends.
+
+    framed: edges from `rings.in_frame`, with ring.
+    """
+    in_frame = framed.select(field, "ring", "i", *(F.col(f"{p}{a}").alias(f"{p}{b}") for p in "ab" for a, b in (("u", "x"), ("v", "y"))))
+    notches = R.reflex_rays(in_frame, least_deg, field).select(field, F.col("y").alias("level"))
+    holes = in_frame.where("ring <> 0").groupBy(field, "ring").agg(F.array(F.min("ay"), F.max("ay")).alias("ends")).select(field, F.explode("ends").alias("level"))
+    return notches.union(holes).select(field, F.round("level", 6).alias("level")).distinct()
+
+
+def spaced_levels(levels: DataFrame, framed: DataFrame, minimum: float, field: str = "field_id") -> DataFrame:
+    """(field, level): of a field's levels those at least `minimum` above the one kept before and below the field's end.
+
+    A field's levels are folded in order; they are as many as its notches, not as its edges.
+    """
+    ends = framed.groupBy(field).agg(F.min(F.least("av", "bv")).alias("low"), F.max(F.greatest("av", "bv")).alias("high"))
+    sorted_ = levels.groupBy(field).agg(F.sort_array(F.collect_set("level")).alias("all")).join(ends, field)
+    start = F.struct(F.col("low").alias("last"), F.array().cast("array<double>").alias("kept"))
+    step = lambda s, v: F.when((v - s["last"] >= minimum) & (F.col("high") - v >= minimum), F.struct(v.alias("last"), F.concat(s["kept"], F.array(v)).alias("kept"))).otherwise(s)
+    return sorted_.select(field, F.explode(F.aggregate("all", start, step)["kept"]).alias("level"))
+
+
+def level_lines(levels: DataFrame, framed: DataFrame, keys: Sequence[str] = O.FIELD, field: str = "field_id") -> DataFrame:
+    """Lines (keys, ends) in a field's frame along levels (keys, level), a metre longer than the field on both sides."""
+    ends = framed.groupBy(field).agg((F.min(F.least("au", "bu")) - 1).alias("ax"), (F.max(F.greatest("au", "bu")) + 1).alias("bx"))
+    return levels.join(ends, field).select(*keys, "ax", F.col("level").alias("ay"), "bx", F.col("level").alias("by"))
+
+
+def along_frame(framed: DataFrame, *keep: str) -> DataFrame:
+    """Edges in their frame: u and v as x and y."""
+    return framed.select(*keep, *(F.col(f"{p}{a}").alias(f"{p}{b}") for p in "ab" for a, b in (("u", "x"), ("v", "y"))))
