@@ -65,7 +65,8 @@ OTHER_NAMES = {
 MAIN_NAMES = "article content post entry story main body text maincontent".split()
 NOT_MAIN = frozenset(w for k, v in OTHER_NAMES.items() for w in v.split() if w not in ("main", "top", "head", "site", "side", "more", "text", "message", "thread")) | {"nav", "footer", "aside", "form", "button", "select", "option", "textarea", "label", "title", "dialog"}
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)", re.S)
+#: A comment ends at once at <!--> and <!--->, and else at the first --> or --!>.
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)", re.S)
 #: Attributes up to the end of the tag; a quote counts only behind an equals sign, and only if it is closed.
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'))?+)*+)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)", re.I)
@@ -415,11 +416,14 @@ def made_up(rng: random.Random, words: list[str]) -> tuple[str, set[str]]:
 
 
 def fit_labeller(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES) -> BlockLabeller:
-    """Learns from about `fit_pages` pages, chosen by a hash of the html, and as many made-up layouts."""
+    """Learns from about `fit_pages` pages, chosen by a hash of the html, and as many made-up layouts.
+
+    Equal pages are drawn once, so the sample is the same in whatever order the rows come.
+    """
     rows = pages.select(F.col(html_col).alias("h")).where(F.length("h") > 0)
     n = rows.count()
     draw = F.pmod(F.xxhash64("h"), F.lit(1_000_000)) / 1_000_000
-    some = rows.where(draw < min(1.0, fit_pages / max(1, n))).limit(2 * fit_pages).collect()
+    some = rows.where(draw < min(1.0, fit_pages / max(1, n))).distinct().collect()
     examples, vocabulary = [], set()
     for h in sorted(r["h"] for r in some):
         blocks = blocks_of(h)

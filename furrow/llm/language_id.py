@@ -124,16 +124,21 @@ def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarr
 
 
 def fit_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learns from about `per_language` rows of each language that aren't held out."""
+    """Learns from about `per_language` rows of each language that aren't held out, drawn by a hash of id and text.
+
+    Rows that repeat an id and its text are drawn once, so no id makes the sample large, and the sample and the model are
+    the same in whatever order the rows come.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((1 + len(ORDERS) * 2**BITS, 0), np.float32))
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.where(draw < share[F.col("lang")]).select("text", "lang").limit(2 * per_language * len(sizes)).collect()
-    return learn([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else LanguageModel([], np.zeros((1 + len(ORDERS) * 2**BITS, 0), np.float32))
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) / 1_000_000
+    drawn = rows.where(draw < share[F.col("lang")]).dropDuplicates(["id", "text", "lang"])
+    sample = sorted((r["lang"], r["text"]) for r in drawn.select("lang", "text").collect())
+    return learn([t for _, t in sample], [name for name, _ in sample]) if sample else LanguageModel([], np.zeros((1 + len(ORDERS) * 2**BITS, 0), np.float32))
 
 
 def predict_languages(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

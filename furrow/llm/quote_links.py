@@ -80,12 +80,15 @@ def pieces_of(text: Column) -> Column:
 def held(parts: DataFrame, keyed: DataFrame, quoted: DataFrame) -> DataFrame:
     """(conv_id, turn, hash) of the messages that hold all pieces of a quotation in its order.
 
+    A quotation with a piece that nobody says is settled by that: only the others look for messages, by their rarest piece.
+
     keyed: (conv_id, turn, hash) of what messages say; quoted: (hash, piece, units) of distinct quotations.
     """
     several = quoted.where("size(units) > 1")
     units = several.select(F.col("hash").alias("quote"), F.explode("units").alias("unit")).select("quote", F.sha2("unit", 256).alias("hash"))
     common = keyed.groupBy("hash").agg(F.count("*").alias("n"))
-    rarest = units.join(common, "hash").groupBy("quote").agg(F.min(F.struct("n", "hash"))["hash"].alias("hash"))
+    counted = units.join(common, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("quote").agg(F.min(F.struct("n", "hash")).alias("r")).where("r.n > 0").select("quote", "r.hash")
     found = keyed.join(rarest, "hash").select("conv_id", "turn", F.col("quote").alias("hash"))
     found = found.join(several, "hash").join(parts.select("conv_id", "turn", "said"), ["conv_id", "turn"])
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))

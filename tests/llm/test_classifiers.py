@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from furrow.llm.language_id import fit_languages, predict_languages
 from furrow.llm.queries import op6_toxicity, op7_language_id
 from furrow.llm.toxicity import TERM_PLACE, fit_toxicity, score_toxicity, score_texts, swapped
@@ -62,3 +64,13 @@ def test_edge_rows(spark):
     out = score_toxicity(docs, fit_toxicity(docs, labels))
     assert out.count() == 6 and dict(out.dtypes)["toxicity"] == "double"
     assert {r.toxic_pred for r in score_toxicity(docs, fit_toxicity(docs, labels.limit(0))).collect()} == {0}
+
+
+def test_languages_are_the_same_in_any_order(spark):
+    """One id with very many rows doesn't push a language out, whichever partition comes first."""
+    hot = next(i for i in range(100_000, 200_000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    english = [(hot, f"the house of the man number {k}", "en") for k in range(600)]
+    french = [(k, f"la maison de monsieur numero {k}", "fr") for k in range(200)]
+    models = [fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), per_language=20) for rows in (english + french, french + english)]
+    assert all(sorted(m.names) == ["en", "fr"] for m in models)
+    assert np.array_equal(*(next(v for v in vars(m).values() if isinstance(v, np.ndarray)) for m in models))

@@ -1,3 +1,4 @@
+import pickle
 import random
 import time
 from collections import Counter
@@ -182,3 +183,26 @@ def test_long_message(spark):
     df = spark.createDataFrame([(1, 0, "user", "line 4000"), (1, 1, "user", text)], "conv_id long, turn long, role string, text string")
     got = {r.turn: (r.n_quotes, r.reply_turn) for r in link_quotes(df).collect()}
     assert got[1] == (40_000, 0)
+
+
+def test_comments_end_where_browsers_end_them():
+    for page in ("<p>a<!-->b</p><p>c</p>", "<p>a<!--->b</p><p>c</p>", "<p>a<!-- x --!>b</p><p>c</p>", "<p>a<!-- x > - -- y -->b</p><p>c</p>"):
+        assert [b.text for b in blocks_of(page)] == ["ab", "c"], page
+    assert [b.text for b in blocks_of("<p>a<!-- never closed <p>b</p>")] == ["a"]
+
+
+def test_greetings_with_lines_that_nobody_wrote(spark):
+    """A common line and an edited one: no quotation looks for messages, so candidates stay few and nothing is linked."""
+    n = 300
+    rows = [(k, 0, "u", f"Hello there.\nmessage number {k}") for k in range(n)] + [(n + k, 0, "u", f"> Hello there.\n> text nobody wrote {k}\nanswer") for k in range(n)]
+    rows += [(3 * n, 0, "u", "> Hello there.\n> message number 7\nyes")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in link_quotes(df).collect()}
+    assert sum(r.n_linked for r in got.values()) == 1 and (got[3 * n].reply_conv, got[3 * n].reply_turn) == (7, 0)
+
+
+def test_labeller_is_the_same_in_any_order(spark):
+    page = "<html><body><nav>menu of the site</nav><article><p>words of number {}</p></article></body></html>"
+    pages = [(k, page.format(k % 9)) for k in range(60)]
+    models = [fit_labeller(spark.createDataFrame(rows, "page_id long, html string").repartition(p), fit_pages=6) for rows, p in ((pages, 1), (pages[::-1], 5))]
+    assert pickle.dumps(models[0]) == pickle.dumps(models[1])

@@ -68,3 +68,29 @@ def test_clashing_columns_repeated_ids_and_empty_tables(spark, small):
             assert "".join(r.text for r in got.values()).count("shared text") == 1 and "another line" in got[7.0].text + got[8.0].text
         assert stage(spark, docs.limit(0), small).count() == 0
     assert pipeline.STAGES[-1][1](spark, docs.limit(0), small).count() == 0
+
+
+def test_chain_on_rows_that_become_empty(spark, small):
+    """The stages in a row against plain Python: lines that stand elsewhere go, emptied documents stay, copies go."""
+    line = "one equal line that several documents have and nothing else"
+    texts = [line, line, line, f"{line}\nmore words of the fourth document stand here alone", "", "  \n ", None, "alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon zeta", "12 34"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    rows = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    seen, want = set(), []
+    for i, t in enumerate(texts):
+        kept = None if t is None else "\n".join(x for x in t.split("\n") if not x.strip() or x not in seen)
+        seen.update((t or "").split("\n"))
+        want.append((i, kept))
+    step = stages["line_dedup"](spark, docs, small)
+    assert rows(step) == want
+    step = stages["near_duplicates"](spark, step, small)
+    first, kept = set(), []
+    for i, t in want:
+        if t is None or not t.strip() or t not in first:
+            kept.append((i, t))
+        first.add(t)
+    assert rows(step) == kept and {1, 2, 4, 5, 6, 8} <= {i for i, _ in kept}
+    step = stages["decontamination"](spark, step, small)
+    assert rows(step) == kept
+    assert sorted(r.doc_id for r in stages["bpe"](spark, step, small).collect()) == [i for i, _ in kept]
