@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.functions.columns import vector_angle_deg
 from furrow.params import Speeds, Stops
 
 LEAST_PHASE = 1e-10
@@ -106,3 +107,76 @@ def batch_ratio(fields: DataFrame) -> DataFrame:
     n, ok = F.count("*"), F.count_if(F.col("status") == "ESTIMATED")
     total = F.sum(F.col("t_work") + F.col("t_drive") + F.col("t_stop"))
     return fields.agg(n.alias("n_fields"), ok.alias("n_estimated"), F.sum("t_work").alias("t_work"), total.alias("t_total"), F.when((n > 0) & (n == ok), F.sum("t_work") / total).alias("ratio"))
+
+
+POSITION_EPS_M, MOVEMENT_EPS_M, CURVE_DEG, STEER_DEG = 1e-5, 1e-9, 0.01, 35.0
+
+
+def operation_steps(vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a step of each operation's line, in the order of its key, with run (the number of its chain), progress, angle and curve.
+
+    vertices: keys, sequence, kind (WORK, HEADLAND or CONNECTION), component, i, x, y. Steps of no length go. A chain
+    breaks where the component changes or a line doesn't begin where the one before it ended. `angle` is the turn at the
+    step's start inside its chain, null at a chain's beginning; `curve` says whether the operation's line bends.
+    """
+    in_line = Window.partitionBy(*keys, "sequence").orderBy("i")
+    steps = vertices.withColumns({"bx": F.lead("x").over(in_line), "by": F.lead("y").over(in_line)}).where("bx is not null")
+    steps = steps.withColumns({"dx": F.col("bx") - F.col("x"), "dy": F.col("by") - F.col("y")}).withColumn("length", F.hypot("dx", "dy")).where(F.col("length") > MOVEMENT_EPS_M)
+    steps = steps.withColumn("working", F.col("kind").isin("WORK", "HEADLAND"))
+    way = Window.partitionBy(*keys).orderBy("sequence", "i")
+    was = {f"was_{c}": F.lag(c).over(way) for c in ("sequence", "component", "bx", "by", "dx", "dy", "working")}
+    steps = steps.withColumns(was)
+    opens = F.coalesce(F.col("was_sequence") != F.col("sequence"), F.lit(True))
+    breaks = F.col("was_sequence").isNull() | (opens & (~F.col("was_component").eqNullSafe(F.col("component")) | (F.hypot(F.col("was_bx") - F.col("x"), F.col("was_by") - F.col("y")) > POSITION_EPS_M)))
+    steps = steps.withColumns({"opens": opens, "breaks": breaks})
+    steps = steps.withColumn("run", F.sum(F.col("breaks").cast("int")).over(way))
+    turn = F.when(~F.col("breaks"), vector_angle_deg(F.col("was_dx"), F.col("was_dy"), F.col("dx"), F.col("dy")))
+    along = Window.partitionBy(*keys, "run").orderBy("sequence", "i").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns({"angle": turn, "end_m": F.sum("length").over(along)}).withColumn("start_m", F.col("end_m") - F.col("length"))
+    bends = F.max(F.coalesce((F.col("angle") > CURVE_DEG) & ~F.col("opens"), F.lit(False))).over(Window.partitionBy(*keys, "sequence"))
+    return steps.withColumn("curve", bends).drop("dx", "dy", "was_sequence", "was_component", "was_bx", "was_by", "was_dx", "was_dy")
+
+
+def ledger_stops(steps: DataFrame, keys: list[str], stops: Stops | None = None) -> DataFrame:
+    """(keys, run, anchor, progress, stop_seconds, unmerged_seconds, actions): stops for steering and the implement.
+
+    Sharp angles stop, between operations too; the implement is switched where work begins and ends, and off at the end of
+    a chain. Actions at one place run together: the stop lasts as long as the longest.
+    """
+    s = stops or Stops()
+    way = Window.partitionBy(*keys).orderBy("sequence", "i")
+    rows = steps.withColumn("last", F.coalesce(F.lead("breaks").over(way), F.lit(True)))
+    was_on = F.col("was_working") & ~F.col("breaks")
+    was_on = F.coalesce(was_on, F.lit(False))
+    event = lambda when, at, action, seconds: F.when(when, F.struct(F.col(at).alias("at"), F.lit(action).alias("action"), F.lit(float(seconds)).alias("seconds")))
+    made = F.array(
+        event(F.col("angle") > STEER_DEG, "start_m", "STOP_STEER", s.steer), event(F.col("opens") & F.col("working") & ~was_on, "start_m", "IMPLEMENT_ON", s.switch),
+        event(F.col("opens") & ~F.col("working") & was_on, "start_m", "IMPLEMENT_OFF", s.switch), event(F.col("last") & F.col("working"), "end_m", "IMPLEMENT_OFF", s.switch),
+    )
+    events = rows.select(*keys, "run", F.explode(F.array_compact(made)).alias("e")).select(*keys, "run", F.round(F.col("e.at") / POSITION_EPS_M).cast("long").alias("anchor"), F.col("e.at").alias("at"), "e.action", "e.seconds")
+    action = events.groupBy(*keys, "run", "anchor", "action").agg(F.max("seconds").alias("seconds"), F.min("at").alias("at"))
+    return action.groupBy(*keys, "run", "anchor").agg(F.min("at").alias("progress"), F.max("seconds").alias("stop_seconds"), F.sum("seconds").alias("unmerged_seconds"), F.array_sort(F.collect_set("action")).alias("actions"))
+
+
+def geometry_ledger(vertices: DataFrame, keys: list[str], speeds: Speeds | None = None, stops: Stops | None = None) -> DataFrame:
+    """One row a key: times of work, driving and stops from the lines alone, with counts, distances, ratio and status.
+
+    Curved work and curved connections go at the lesser of their own and the turning speed. More than one chain leaves a gap
+    without a connection, so the ratio is null; so it is where no time is known. Keys without a step have no row.
+    """
+    v = speeds or Speeds()
+    steps = operation_steps(vertices, keys)
+    speed = F.when(F.col("working"), F.when(F.col("curve"), F.lit(float(min(v.work, v.turn)))).otherwise(F.lit(float(v.work)))).otherwise(F.when(F.col("curve"), F.lit(float(v.turn))).otherwise(F.lit(float(v.transit))))
+    steps = steps.withColumn("seconds", F.col("length") / speed)
+    part = lambda cond, what: F.sum(F.when(cond, F.col(what)).otherwise(0.0))
+    sums = steps.groupBy(*keys).agg(
+        part(F.col("working"), "seconds").alias("t_work"), part(~F.col("working"), "seconds").alias("t_drive"), part(~F.col("working") & F.col("curve"), "seconds").alias("t_turn"),
+        part(F.col("working"), "length").alias("work_m"), part(~F.col("working"), "length").alias("connection_m"), F.max("run").alias("chains"),
+    )
+    held = ledger_stops(steps, keys, stops)
+    count = lambda *a: F.sum(F.size(F.array_intersect("actions", F.array(*map(F.lit, a))))).cast("long")
+    merged = held.groupBy(*keys).agg(F.sum("stop_seconds").alias("t_stop"), F.count("*").alias("stops"), count("STOP_STEER").alias("steer_stops"), count("IMPLEMENT_ON", "IMPLEMENT_OFF").alias("switches"), F.sum(F.col("unmerged_seconds") - F.col("stop_seconds")).alias("saved_s"))
+    met = sums.join(merged, keys, "left").na.fill(0.0, ["t_stop", "saved_s"]).na.fill(0, ["stops", "steer_stops", "switches"])
+    total = F.col("t_work") + F.col("t_drive") + F.col("t_stop")
+    good = (F.col("chains") == 1) & (total > 0)
+    return met.select("*", F.when(good, F.col("t_work") / total).alias("ratio"), F.when(good, F.lit("ESTIMATED")).otherwise(F.lit("INCOMPLETE")).alias("status"))

@@ -189,3 +189,24 @@ def test_store_and_stream(spark, tmp_path):
     assert sorted(r.field_id for r in store.newest(spark, f"{out}/results").collect()) == [0, 1, 2, 3, 5]
     assert {r.field_id for r in store.newest(spark, f"{out}/states").where("state = 'FAILED'").collect()} == {4}
     assert same_contract(spark, out, {"p": 1}) and not same_contract(spark, out, {"p": 2})
+
+
+def test_geometry_ledger(spark):
+    """A square way with one sharp corner inside a line, one between lines, a curve, and a gap, by hand."""
+    from furrow.operators import time_ledger as T
+
+    lines = [
+        (1, 0, "WORK", 1, [(0, 0), (10, 0)]), (1, 1, "CONNECTION", 1, [(10, 0), (10, 4), (0, 4)]), (1, 2, "WORK", 1, [(0, 4), (0, 4), (-5, 4), (-10, 4.5)]),
+        (2, 0, "WORK", 1, [(0, 0), (10, 0)]), (2, 1, "WORK", 1, [(12, 0), (20, 0)]), (3, 0, "WORK", 1, [(1, 1), (1, 1)]),
+    ]
+    rows = [(f, s, k, c, i, float(x), float(y)) for f, s, k, c, line in lines for i, (x, y) in enumerate(line)]
+    df = spark.createDataFrame(rows, "field_id long, sequence int, kind string, component int, i int, x double, y double")
+    got = {r.field_id: r for r in T.geometry_ledger(df, ["field_id"]).collect()}
+    one = got[1]
+    bent = 5 + (25 + 0.25) ** 0.5
+    assert one.t_work == pytest.approx(10 / 2.36 + bent / 0.8) and one.t_drive == one.t_turn == pytest.approx(14 / 0.8)
+    # on; off with a corner; a corner inside; on without a corner, since the way goes straight on; off
+    assert (one.stops, one.steer_stops, one.switches) == (5, 2, 4) and one.t_stop == pytest.approx(1 + 2 + 2 + 1 + 1) and one.saved_s == pytest.approx(1)
+    assert one.status == "ESTIMATED" and one.ratio == pytest.approx(one.t_work / (one.t_work + one.t_drive + 7))
+    assert (got[2].chains, got[2].status, got[2].ratio, got[2].switches) == (2, "INCOMPLETE", None, 4) and 3 not in got
+    assert T.geometry_ledger(df.limit(0), ["field_id"]).count() == 0
