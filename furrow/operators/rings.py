@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.columns import finite_number, vector_angle_deg
+from furrow.operators import overlay as O
 
 KEYS = ("field_id", "ring")
 
@@ -100,29 +101,60 @@ def points_inside(points: DataFrame, edges: DataFrame, keys: list[str], field: s
     return points.join(edges.select(field, "ax", "ay", "bx", "by"), field, "left").groupBy(*keys).agg((F.count_if(crosses) % 2 == 1).alias("inside"))
 
 
-def crossing_edges(edges: DataFrame, field: str = "field_id") -> DataFrame:
-    """(field, n_crossings): pairs of edges of a field that cross properly.
+def edge_contacts(edges: DataFrame, field: str = "field_id") -> DataFrame:
+    """(field, n_crossings, n_overlaps, n_touches): pairs of a field's edges that cross, run along each other, or, being of
+    one ring and no neighbours in it, share a point.
 
-    Edges are dealt to square cells about as wide as the mean edge, and only edges of a cell meet.
+    edges: with ring, i, and part where there are several. They are dealt to square cells along their way, and only edges
+    of a cell meet. Coordinates are compared in units of `overlay.UNIT`.
     """
-    edges = edges.withColumn("edge", F.struct("ring", "i"))
-    mean = edges.groupBy(field).agg(F.greatest(F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), F.lit(1e-9)).alias("cell"))
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / F.col("cell")), F.floor(F.greatest(a, b) / F.col("cell")))
-    dealt = edges.join(mean, field).withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by"))).select(field, "cx", "cy", "edge", "ax", "ay", "bx", "by")
-    other = dealt.select(field, "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("edge", "ax", "ay", "bx", "by")))
-    side = lambda a, b, p: (F.col(f"{b}x") - F.col(f"{a}x")) * (F.col(f"{p}y") - F.col(f"{a}y")) - (F.col(f"{b}y") - F.col(f"{a}y")) * (F.col(f"{p}x") - F.col(f"{a}x"))
-    proper = (side("a", "b", "o_a") * side("a", "b", "o_b") < 0) & (side("o_a", "o_b", "a") * side("o_a", "o_b", "b") < 0)
-    pairs = dealt.join(other, [field, "cx", "cy"]).where((F.col("edge") < F.col("o_edge")) & proper).select(field, "edge", "o_edge").distinct()
-    return pairs.groupBy(field).agg(F.count("*").alias("n_crossings"))
+    edges = edges if "part" in edges.columns else edges.withColumn("part", F.lit(0))
+    ring = Window.partitionBy(field, "part", "ring")
+    place = edges.select(field, F.struct("part", "ring").alias("of"), F.row_number().over(ring.orderBy("i")).alias("k"), F.count("*").over(ring).alias("n"), *(F.round(F.col(c) / O.UNIT).alias(c) for c in O.ENDS))
+    place = place.where("ax <> bx or ay <> by")
+    cells = O.dealt(place.join(O.cell_widths(place, [field]), field))
+    one = cells.select(field, "cx", "cy", "of", "k", "n", *O.ENDS)
+    other = cells.select(field, "cx", "cy", F.col("of").alias("of2"), F.col("k").alias("k2"), *(F.col(c).alias(d) for c, d in zip(O.ENDS, ("px", "py", "qx", "qy"), strict=True)))
+    near = (F.greatest("ax", "bx") >= F.least("px", "qx")) & (F.greatest("px", "qx") >= F.least("ax", "bx")) & (F.greatest("ay", "by") >= F.least("py", "qy")) & (F.greatest("py", "qy") >= F.least("ay", "by"))
+    met = one.join(other, [field, "cx", "cy"]).where((F.struct("of", "k") < F.struct("of2", "k2")) & near)
+    away = lambda a, b, p: ((F.col(f"{b}x") - F.col(f"{a}x")) * (F.col(f"{p}y") - F.col(f"{a}y")) - (F.col(f"{b}y") - F.col(f"{a}y")) * (F.col(f"{p}x") - F.col(f"{a}x"))) / F.hypot(F.col(f"{b}x") - F.col(f"{a}x"), F.col(f"{b}y") - F.col(f"{a}y"))
+    d = {k: away(*k) for k in (("a", "b", "p"), ("a", "b", "q"), ("p", "q", "a"), ("p", "q", "b"))}
+    p, q, a, b = d.values()
+    far = lambda x: F.abs(x) > 1
+    cross = (p * q < 0) & (a * b < 0) & far(p) & far(q) & far(a) & far(b)
+    along = lambda v: ((F.col(f"{v}x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col(f"{v}y") - F.col("ay")) * (F.col("by") - F.col("ay"))) / F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    shared = F.least(F.greatest(along("p"), along("q")), length) - F.greatest(F.least(along("p"), along("q")), F.lit(0.0))
+    overlap = ~far(p) & ~far(q) & (shared > 2)
+    on = lambda x, v: ~far(x) & (along(v) >= -1) & (along(v) <= length + 1)
+    back = lambda x, v: ~far(x) & (((F.col(f"{v}x") - F.col("px")) * (F.col("qx") - F.col("px")) + (F.col(f"{v}y") - F.col("py")) * (F.col("qy") - F.col("py"))).between(F.lit(0), F.pow(F.col("qx") - F.col("px"), 2) + F.pow(F.col("qy") - F.col("py"), 2)))
+    neighbours = (F.col("k2") - F.col("k") == 1) | (F.col("k2") - F.col("k") == F.col("n") - 1)
+    touch = (F.col("of") == F.col("of2")) & ~neighbours & (on(p, "p") | on(q, "q") | back(a, "a") | back(b, "b"))
+    kind = F.when(cross, "CROSS").when(overlap, "OVERLAP").when(touch, "TOUCH")
+    pairs = met.select(field, "of", "k", "of2", "k2", kind.alias("kind")).where("kind is not null").distinct()
+    count = lambda k: F.count_if(F.col("kind") == k)
+    return pairs.groupBy(field).agg(count("CROSS").alias("n_crossings"), count("OVERLAP").alias("n_overlaps"), count("TOUCH").alias("n_touches"))
 
 
 def polygon_status(vertices: DataFrame, field: str = "field_id") -> DataFrame:
-    """(field, status, area): VALID, SELF_CROSSING, NO_AREA or NOT_FINITE for each polygon."""
-    edges = edges_of(vertices)
+    """(field, status, area) of each polygon of one or several parts, each with holes.
+
+    VALID, or the first of: NOT_FINITE, SELF_CROSSING, NO_AREA, EDGE_OVERLAP (edges that run along each other),
+    RING_TOUCH (a ring that meets itself) and MISPLACED (a hole outside its shell or in another, parts that overlap).
+    Rings may touch each other in points. area is that of the rings, holes taken off.
+    """
+    vertices = vertices if "part" in vertices.columns else vertices.withColumn("part", F.lit(0))
+    edges = edges_of(vertices, (field, "part", "ring"))
     area = edges.groupBy(field).agg((F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2).alias("area"))
     broken = vertices.groupBy(field).agg(F.bool_or(~(finite_number(F.col("x").cast("double")) & finite_number(F.col("y").cast("double")))).alias("broken"))
-    met = broken.join(area, field, "left").join(crossing_edges(edges, field), field, "left")
-    status = F.when(F.col("broken"), "NOT_FINITE").when(F.col("n_crossings") > 0, "SELF_CROSSING").when(F.coalesce("area", F.lit(0.0)) <= 0, "NO_AREA").otherwise("VALID")
+    sides = O.arranged(edges.select(field, *O.ENDS), None, (field,))
+    above = F.col("below_a") + F.col("n_a")
+    placed = sides.groupBy(field).agg(F.bool_and(F.col("below_a").between(0, 1) & above.between(0, 1)).alias("placed"))
+    met = broken.join(area, field, "left").join(edge_contacts(edges, field), field, "left").join(placed, field, "left")
+    status = (
+        F.when(F.col("broken"), "NOT_FINITE").when(F.col("n_crossings") > 0, "SELF_CROSSING").when(F.coalesce("area", F.lit(0.0)) <= 0, "NO_AREA")
+        .when(F.col("n_overlaps") > 0, "EDGE_OVERLAP").when(F.col("n_touches") > 0, "RING_TOUCH").when(~F.coalesce("placed", F.lit(True)), "MISPLACED").otherwise("VALID")
+    )
     return met.select(field, status.alias("status"), "area")
 
 

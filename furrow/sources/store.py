@@ -1,7 +1,7 @@
 """Result tables: checked writes, upserts of whole fields, parameter sets, manifests and contracts.
 
-Tables are folders of Parquet with one subfolder a commit and a marker file that Spark writes last (`_SUCCESS`), so a
-reader never sees half a commit. Readers take the newest commit of each field.
+Tables are folders of Parquet with one partition a commit, which appears as a whole. Readers take the newest commit of
+each field.
 """
 
 from __future__ import annotations
@@ -38,10 +38,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def commit(df: DataFrame, folder: str, number: int) -> str:
-    """Writes one commit of a table."""
-    path = f"{folder}/commit={number:09d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+    """Writes one commit of a table, as a partition that replaces itself alone if it is written again.
+
+    Spark stages the files out of readers' sight and moves the partition into place when the job has succeeded, so a
+    reader never sees half a commit. An empty commit leaves nothing.
+    """
+    df.withColumn("commit", F.lit(f"{number:09d}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit").parquet(folder)
+    return f"{folder}/commit={number:09d}"
 
 
 def newest(spark: SparkSession, folder: str, key: str = "field_id") -> DataFrame:

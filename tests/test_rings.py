@@ -34,6 +34,35 @@ def test_status_of_polygons(spark):
     assert R.polygon_status(rings_of(spark, [BOX]).limit(0)).count() == 0
 
 
+def test_status_of_parts_holes_and_touching_rings(spark):
+    """Rings that touch themselves or run along each other, holes outside or nested, parts apart, overlapping or crossing."""
+    box = lambda x, y, d: [(x, y), (x + d, y), (x + d, y + d), (x, y + d)]
+    pinched = [(0, 0), (10, 0), (10, 10), (5, 0), (0, 10)]
+    eight = [(0, 0), (5, 5), (10, 0), (10, 10), (5, 5), (0, 10)]
+    shapes = {
+        "RING_TOUCH": [[[pinched]], [[eight]]], "MISPLACED": [[[box(0, 0, 10), box(20, 0, 5)]], [[box(0, 0, 30), box(5, 5, 10), box(7, 7, 2)]], [[box(0, 0, 30)], [box(5, 5, 10)]]],
+        "EDGE_OVERLAP": [[[box(0, 0, 10), box(0, 2, 5)]], [[box(0, 0, 10)], [box(10, 0, 10)]]], "SELF_CROSSING": [[[box(0, 0, 10)], [box(5, 5, 10)]], [[box(0, 0, 10), box(5, 5, 10)]]],
+        "VALID": [[[box(0, 0, 10)], [box(20, 0, 10)]], [[box(0, 0, 10)], [box(10, 10, 10)]], [[box(0, 0, 20), [(0, 5), (5, 2), (5, 8)]]], [[box(0, 0, 30), box(5, 5, 20)], [box(8, 8, 4)]]],
+    }
+    rows, want = [], {}
+    for status, some in shapes.items():
+        for shape in some:
+            f = len(want)
+            want[f] = status
+            rows += [(f, p, r, i, float(x), float(y)) for p, rings in enumerate(shape) for r, ring in enumerate(rings) for i, (x, y) in enumerate(ring)]
+    df = spark.createDataFrame(rows, "field_id long, part int, ring int, i int, x double, y double")
+    assert {r.field_id: r.status for r in R.polygon_status(df).collect()} == want
+
+
+def test_contacts_follow_edges(spark):
+    """A thousand short edges and a long diagonal one: cells along the edges, one crossing."""
+    ring = [(k * 0.1, 100 + 5 * math.sin(k)) for k in range(1000)] + [(100.0, 0.0), (0.0, 0.0)]
+    zigzag = [(0.0, 0.0), (100.0, 90.0), (100.0, 0.0), (50.0, 80.0)]
+    df = rings_of(spark, [ring[::-1]], [zigzag])
+    got = {r.field_id: r.n_crossings for r in R.edge_contacts(R.edges_of(df)).collect()}
+    assert got.get(0, 0) == 0 and got[1] == 1
+
+
 def test_spikes(spark):
     spiked = [(0, 0), (100, 0), (130, 0), (100, 0), (100, 160), (100, 190), (100, 160), (0, 160)]
     clean = R.without_spikes(rings_of(spark, [spiked], [BOX]))
