@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators import time_ledger as T
-from furrow.plans.views import run
+from furrow.operators.replay import unworked_travel
+from furrow.plans.views import run, view
 
 LEDGER: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEDGER_SQL: dict[str, str] = {}
@@ -55,3 +56,29 @@ def tim_geometry_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEDGER["tim_geometry_ledger"] = tim_geometry_ledger
+
+
+LEDGER_SQL["aud_unworked_travel"] = """WITH o AS (SELECT field_id, row_index, 2 * task AS at, x0 AS u0, x1 AS u1 FROM {v_ordered}),
+t AS (SELECT o.field_id, o.row_index + d.off AS row_index, o.at + 1 AS at, d.off, f.w FROM o JOIN (SELECT * FROM (VALUES (-1), (0), (1)) AS v(off)) d ON true JOIN {v_fields} f ON f.field_id = o.field_id)
+SELECT t.field_id, t.row_index, t.at, CAST(t.off AS INT) AS off, round(w + 6.0E0, 3) AS length, round(w + 6 - 8 - coalesce(sum(CASE WHEN o.at < t.at THEN greatest(0.0E0, least(o.u1, w - 1.0E0) - greatest(o.u0, 1.0E0)) END), 0), 3) AS unworked
+FROM t LEFT JOIN o ON o.field_id = t.field_id AND o.row_index = t.row_index GROUP BY t.field_id, t.row_index, t.at, t.off, w"""
+
+
+def aud_unworked_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifted travel along each task's row and both neighbours right after the task: how much of it wasn't worked before.
+
+    Travel goes 3 m beyond both sides of the field; 4 m at each end are free.
+    """
+    keys = ("field_id", "row_index")
+    tasks = view(spark, sf_dir, "v_ordered")
+    wide = tasks.join(view(spark, sf_dir, "v_fields").select("field_id", "w"), "field_id")
+    work = tasks.select(*keys, F.col("x0").alias("u0"), F.col("x1").alias("u1"), (2 * F.col("task")).alias("at"))
+    off = F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1)))).alias("off")
+    travel = wide.select("field_id", "row_index", "task", "w", off).select("field_id", (F.col("row_index") + F.col("off")).alias("row_index"), F.struct("task", "off").alias("travel"), F.lit(-3.0).alias("u0"), (F.col("w") + 3.0).alias("u1"), (2 * F.col("task") + 1).alias("at"))
+    ends = travel.select(*keys, F.col("u1").alias("far")).distinct()
+    free = ends.select(*keys, F.explode(F.array(F.struct(F.lit(-3.0).alias("u0"), F.lit(1.0).alias("u1")), F.struct((F.col("far") - 4.0).alias("u0"), F.col("far").alias("u1")))).alias("f")).select(*keys, "f.*")
+    out = unworked_travel(travel, work, keys, free)
+    return out.select(*keys, "at", F.col("travel.off").alias("off"), F.round("length", 3).alias("length"), F.round("unworked", 3).alias("unworked"))
+
+
+LEDGER["aud_unworked_travel"] = aud_unworked_travel

@@ -210,3 +210,23 @@ def test_geometry_ledger(spark):
     assert one.status == "ESTIMATED" and one.ratio == pytest.approx(one.t_work / (one.t_work + one.t_drive + 7))
     assert (got[2].chains, got[2].status, got[2].ratio, got[2].switches) == (2, "INCOMPLETE", None, 4) and 3 not in got
     assert T.geometry_ledger(df.limit(0), ["field_id"]).count() == 0
+
+
+def test_replay_against_a_loop(spark):
+    """Random work and travel on rows of whole metres: metre by metre in order of time."""
+    from furrow.operators import replay as P
+
+    rng = random.Random(2)
+    work = [(r, (a := rng.randrange(40)), a + rng.randrange(0, 15), rng.randrange(50)) for r in range(4) for _ in range(12)]
+    free = [(r, 0, 3) for r in range(5)]
+    travel = [(r, k, (a := rng.randrange(40)), a + rng.randrange(1, 20), rng.randrange(50)) for k, r in enumerate([0, 1, 2, 3, 4] * 6)]
+    w = spark.createDataFrame(work + [(1, None, 5, 1)], "row_index int, u0 int, u1 int, at int")
+    t = spark.createDataFrame([(r, k, b, a, at) for r, k, a, b, at in travel], "row_index int, travel int, u0 int, u1 int, at int")
+    f = spark.createDataFrame(free, "row_index int, u0 int, u1 int")
+    got = {r.travel: (r.length, r.unworked) for r in P.unworked_travel(t, w, ["row_index"], f).collect()}
+    for r, k, a, b, at in travel:
+        ready = {u for q, x, y, s in work if q == r and s < at for u in range(x, y)} | {0, 1, 2}
+        assert got[k] == (b - a, sum(u not in ready for u in range(a, b)))
+    first = {(r.row_index, u): r["at"] for r in P.first_worked(w, ["row_index"]).collect() for u in range(int(r.u0), int(r.u1))}
+    assert first == {(q, u): min(s for p, x, y, s in work if p == q and x <= u < y) for q, x0, y0, _ in work for u in range(x0, y0)}
+    assert P.unworked_travel(t.limit(0), w.limit(0), ["row_index"]).count() == 0
