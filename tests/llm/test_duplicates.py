@@ -207,3 +207,24 @@ def test_one_group_of_a_third_of_all_lines(spark):
     rows = [(i, (base[: 20 + i % 100] + "#" + base[21 + i % 100 :]) if i % 3 == 0 else "".join(rng.choice("klmnopqrst ") for _ in range(80))) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.dropped for r in dropped_lines(df).collect()} == brute_dropped(rows)
+
+
+def test_recall_of_planted_pairs_by_similarity(spark):
+    """Pairs of one known similarity each: replaced last words take as many shingles from one side as they add to the other."""
+    rng, shingles, each, rows, planted = random.Random(12), 200, 60, [], {}
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    for similarity in (0.6, 0.7, 0.78, 0.805, 0.85, 0.9, 0.95):
+        for _ in range(each):
+            words = [word() for _ in range(shingles + 4)]
+            m = int(shingles * (1 - similarity) / (1 + similarity))
+            planted[len(rows)] = (similarity, (shingles - m) / (shingles + m))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-m] + [word() for _ in range(m)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    cls = {r.doc_id: r.class_id for r in near_duplicate_classes(df).collect()}
+    found = {}
+    for i, (wanted, exact) in planted.items():
+        found.setdefault(wanted, []).append(cls[i] == cls[i + 1])
+        assert exact >= 0.8 or cls[i] != cls[i + 1], "no link below the threshold"
+    recall = {k: sum(v) / len(v) for k, v in found.items()}
+    assert recall[0.6] == recall[0.7] == recall[0.78] == 0 and all(recall[k] >= 0.9 for k in (0.805, 0.85, 0.9, 0.95)), recall
+    assert recall[0.9] == recall[0.95] == 1.0
