@@ -12,7 +12,7 @@ html; all words of a block are read.
 
 Text of script, style and template is never a block. Character references are decoded, white space in a block becomes
 one space, blocks are trimmed and joined by a line break. A tag that isn't closed by the end of the page ends the page. Very
-long pages and deep nesting take time in proportion to their length. Null and empty html give an empty text. Rows are
+long pages and deep nesting take time in proportion to their length; their vectors are made window by window. Null and empty html give an empty text. Rows are
 independent, so repeated rows repeat; columns named like the result are replaced. An empty table gives an empty result.
 """
 
@@ -35,6 +35,8 @@ from furrow.llm.text_codes import with_scores
 FIT_PAGES = 300
 PATH, WORDS, SIZES, HIDDEN = 128, 32, 4, 24
 EPOCHS, BATCH, RATE = 12, 30, 0.01
+#: Pages of more blocks are labelled by windows of so many.
+WINDOW = 4096
 #: Share of made-up parts with meaningless names.
 UNNAMED = 0.35
 
@@ -218,8 +220,9 @@ def _slot(word: str, size: int) -> int:
     return _SLOTS[size][word]
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """(blocks, PATH + WORDS + SIZES) vectors."""
+def features(blocks: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
+    """(blocks, PATH + WORDS + SIZES) vectors of a page's blocks, or of a run of them: the `first` and on of `of`."""
+    of = len(blocks) if of is None else of
     x, slots = np.zeros((len(blocks), PATH + WORDS + SIZES), np.float32), _SLOTS[WORDS].__getitem__
     for i, b in enumerate(blocks):
         x[i, :PATH] = b.path
@@ -227,7 +230,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         counts = np.bincount(np.fromiter(map(slots, words), np.int64, len(words)), minlength=WORDS)
         x[i, PATH : PATH + WORDS] = counts
         x[i, PATH : PATH + WORDS] /= np.sqrt(counts @ counts)
-        x[i, -SIZES:] = (np.log1p(len(words)) / 5, b.linked, i / len(blocks), b.text[-1] in ".!?…")
+        x[i, -SIZES:] = (np.log1p(len(words)) / 5, b.linked, (first + i) / of, b.text[-1] in ".!?…")
     return x
 
 
@@ -243,12 +246,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(weights: tuple, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (pages, steps, HIDDEN) of one direction, and what the way back needs."""
+def _run(weights: tuple, x: np.ndarray, mask: np.ndarray, state: tuple | None = None, tape: list | None = None) -> tuple[np.ndarray, tuple]:
+    """Hidden states (pages, steps, HIDDEN) of one direction, from `state` on, and the last state.
+
+    What the way back needs goes to `tape`, if there is one.
+    """
     w, u, b = weights
     n, steps, _ = x.shape
-    h, c = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype)
-    given, states, tape = x @ w + b, np.zeros((n, steps, HIDDEN), x.dtype), []
+    h, c = state or (np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype))
+    given, states = x @ w + b, np.zeros((n, steps, HIDDEN), x.dtype)
     for t in range(steps):
         z = given[:, t] + h @ u
         i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
@@ -256,10 +262,11 @@ def _run(weights: tuple, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, l
         c2 = f * c + i * g
         tc = np.tanh(c2)
         m = mask[:, t : t + 1]
-        tape.append((h, c, i, f, o, g, tc))
+        if tape is not None:
+            tape.append((h, c, i, f, o, g, tc))
         h, c = np.where(m, o * tc, h), np.where(m, c2, c)
         states[:, t] = h
-    return states, tape
+    return states, (h, c)
 
 
 def _back(weights: tuple, x: np.ndarray, mask: np.ndarray, tape: list, d_states: np.ndarray) -> list[np.ndarray]:
@@ -291,10 +298,11 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def _logits(model: BlockLabeller, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-    ahead, tape1 = _run(model.forward, x, mask)
+def _logits(model: BlockLabeller, x: np.ndarray, mask: np.ndarray, taped: bool = False) -> tuple[np.ndarray, tuple]:
+    tape1, tape2 = ([], []) if taped else (None, None)
+    ahead, _ = _run(model.forward, x, mask, tape=tape1)
     turned, turned_mask = x[:, ::-1], mask[:, ::-1]
-    behind, tape2 = _run(model.backward, turned, turned_mask)
+    behind, _ = _run(model.backward, turned, turned_mask, tape=tape2)
     both = np.concatenate((ahead, behind[:, ::-1]), axis=2)
     return both @ model.out + model.bias, (both, tape1, turned, turned_mask, tape2)
 
@@ -321,7 +329,7 @@ def learn(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 7) -> BlockLab
             for i, (_, label) in enumerate(some):
                 y[i, : len(label)] = label
             model = BlockLabeller(tuple(params[:3]), tuple(params[3:6]), params[6], float(params[7][0]))
-            logit, (both, tape1, turned, turned_mask, tape2) = _logits(model, x, mask)
+            logit, (both, tape1, turned, turned_mask, tape2) = _logits(model, x, mask, taped=True)
             d = ((_sigmoid(logit) - y) * mask / mask.sum()).astype(np.float32)
             d_both = d[:, :, None] * model.out
             grads = [
@@ -355,6 +363,21 @@ def label(model: BlockLabeller, pages: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def label_long(model: BlockLabeller, blocks: list[Block], window: int = WINDOW) -> np.ndarray:
+    """Labels of one page's blocks, read window by window in both directions; only states go from one to the next.
+
+    Memory beside the blocks is a window's vectors and one number a block.
+    """
+    score, starts = np.full(len(blocks), model.bias), range(0, len(blocks), window)
+    for weights, out, order, step in ((model.forward, model.out[:HIDDEN], starts, 1), (model.backward, model.out[HIDDEN:], starts[::-1], -1)):
+        state = None
+        for lo in order:
+            x = features(blocks[lo : lo + window], lo, len(blocks))[None, ::step]
+            states, state = _run(weights, x, np.ones(x.shape[:2], bool), state)
+            score[lo : lo + window] += (states[0] @ out)[::step]
+    return score > 0
+
+
 def marked(blocks: list[Block]) -> np.ndarray | None:
     """Labels that the page's own markup gives, if it names an article."""
     named = _slot("article", PATH), _slot("main", PATH)
@@ -441,7 +464,8 @@ def fit_labeller(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_
 
 def extract(model: BlockLabeller, pages: list[str]) -> list[str]:
     blocks = [blocks_of(p) for p in pages]
-    keep = label(model, [features(b) for b in blocks])
+    keep = label(model, [features(b) if len(b) <= WINDOW else features([]) for b in blocks])
+    keep = [label_long(model, b) if len(b) > WINDOW else k for b, k in zip(blocks, keep, strict=True)]
     return ["\n".join(b.text for b, k in zip(page, ks, strict=False) if k) for page, ks in zip(blocks, keep, strict=True)]
 
 

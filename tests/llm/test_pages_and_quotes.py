@@ -1,11 +1,12 @@
 import pickle
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 
-from furrow.llm.html_blocks import PATH, _slot, blocks_of, extract, extract_main_text, features, fit_labeller, label, made_up, marked
+from furrow.llm.html_blocks import PATH, _slot, blocks_of, extract, extract_main_text, features, fit_labeller, label, label_long, made_up, marked
 from furrow.llm.quote_links import link_quotes, parsed
 from furrow.llm.queries import op8_quote_links, op9_html_extraction
 
@@ -82,6 +83,19 @@ def test_pages_that_are_long(spark, small):
     assert len(extract(model, ["<article>" + "<p>some words of a page.</p>" * 20_000 + "</article>"])[0]) > 400_000
 
 
+def test_windows_label_like_whole_pages(spark, small):
+    """Windows of any size agree with the page as a whole, and memory follows the window."""
+    model = fit_labeller(spark.read.parquet(f"{small}/pages.parquet"))
+    blocks = blocks_of("<body><nav><li>Menu</nav>" + "<p>rain fell on the rows.</p><div class='ad'>buy now</div>" * 9_000 + "<footer>imprint</footer></body>")
+    whole = label(model, [features(blocks)])[0]
+    assert all((label_long(model, blocks, w) == whole).mean() > 0.9999 for w in (1_000, 4_096, 10**6))
+    tracemalloc.start()
+    label_long(model, blocks, 1_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6_000_000
+
+
 def test_pages_edge_rows(spark, small):
     model = fit_labeller(spark.read.parquet(f"{small}/pages.parquet"))
     df = spark.createDataFrame([(1, None, "m"), (2, "", "m"), (3, "<article><p>hello world of words.</p></article>", "m")], "page_id long, html string, main_text string")
