@@ -23,12 +23,13 @@ from furrow.operators.graph import kept
 def visible_pairs(edges: DataFrame, nodes: DataFrame, field: str = "field_id") -> DataFrame:
     """(field, a, b, length), both ways, of nodes (field, node, x, y) that see each other inside edges (field, ends).
 
-    Touching the boundary, or running along it, hides nothing.
+    Touching the boundary, or running along it, hides nothing. Sight is told on the grid, length between the nodes as given.
     """
     unit = O.UNIT
-    where = nodes.select(field, F.col("node").alias("a"), F.round(F.col("x") / unit).alias("ax"), F.round(F.col("y") / unit).alias("ay"))
-    to = where.select(field, F.col("a").alias("b"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
-    lines = kept(where.join(to, field).where((F.col("a") < F.col("b")) & ((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))))
+    where = nodes.select(field, F.col("node").alias("a"), F.round(F.col("x") / unit).alias("ax"), F.round(F.col("y") / unit).alias("ay"), "x", "y")
+    to = where.select(field, F.col("a").alias("b"), F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("x").alias("to_x"), F.col("y").alias("to_y"))
+    met = where.join(to, field).where((F.col("a") < F.col("b")) & ((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by"))))
+    lines = kept(met.select(field, "a", "b", *O.ENDS, F.hypot(F.col("to_x") - F.col("x"), F.col("to_y") - F.col("y")).alias("length")))
     walls = O.snapped(edges.select(field, *O.ENDS), (field,), unit).where("ax <> bx or ay <> by")
     # cells as wide as the mean wall would cut long lines into very many pieces; a field's lines are longer
     size = walls.select(field, *O.ENDS).unionByName(lines.select(field, *O.ENDS))
@@ -46,7 +47,7 @@ def visible_pairs(edges: DataFrame, nodes: DataFrame, field: str = "field_id") -
     spots = open_.select(field, "a", "b", *O.ENDS, F.explode(F.array(*(F.lit(t) for t in at))).alias("t"))
     spots = spots.select(field, "a", "b", "t", ((F.col("ax") + F.col("t") * (F.col("bx") - F.col("ax"))) * unit).alias("x"), ((F.col("ay") + F.col("t") * (F.col("by") - F.col("ay"))) * unit).alias("y"))
     within = _inside_or_on(spots, edges, [field, "a", "b", "t"], field).groupBy(field, "a", "b").agg(F.bool_and("inside").alias("inside")).where("inside").drop("inside")
-    seen = open_.join(within, [field, "a", "b"]).select(field, "a", "b", (F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) * unit).alias("length"))
+    seen = open_.join(within, [field, "a", "b"]).select(field, "a", "b", "length")
     return kept(seen.unionByName(seen.select(field, F.col("b").alias("a"), F.col("a").alias("b"), "length")))
 
 

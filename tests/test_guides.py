@@ -30,6 +30,17 @@ def test_ways_of_closed_forms(spark):
     assert G.guides(edges.limit(0), ways_of(spark, rows)).count() == 0
 
 
+def test_lengths_keep_the_digits_of_their_nodes(spark):
+    """Places that no grid holds: a way round a hole whose length ends just above a half of its fourth digit."""
+    w, h, w3, h3 = 71, 179, 23, 59
+    turn = lambda *points: [(x * 8 / 17 - y * 15 / 17, x * 15 / 17 + y * 8 / 17) for x, y in points]
+    edges = edges_of(spark, [turn(*box(0, 0, w, h)), turn(*box(w3, h3, 2 * w3, 2 * h3))])
+    ends = [c for p in turn((w3 / 2, h3 * 1.25), (w3 * 2.5, h3 * 1.25)) for c in p]
+    (got,) = G.guides(edges, ways_of(spark, [(0, 1, *ends)])).collect()
+    exact = w3 + 2 * math.hypot(w3 / 2, h3 / 4)
+    assert abs(got.length - exact) < 1e-10 and round(got.length, 4) == round(exact, 4) and got.bends == 2
+
+
 def test_several_holes_against_a_plain_search(spark):
     rng = random.Random(5)
     holes = [turned(box(-d, -d, d, d), rng.uniform(0, 1.5), x, y) for x in (20, 45, 70) for y in (15, 40) for d in (rng.uniform(5, 8),)]
