@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from furrow.llm import line_dedup, links
 from furrow.llm.line_dedup import deduplicate_lines, dropped_lines
 from furrow.llm.near_duplicates import dart_signatures, near_duplicate_classes, one_of_each_class, scramble
 from furrow.llm.queries import op4_near_duplicates, op10_line_dedup
@@ -165,6 +166,37 @@ def test_lines_on_the_table(spark, small):
     assert wrong <= 0.002 * lines
 
 
+def test_minima_left_out_are_taken_again(spark):
+    """Signatures are those of all shingles, of lines of different shingles and of lines that repeat themselves."""
+    rng = random.Random(21)
+    some = ["".join(rng.choice("abcdefghijklmnop \U0001f600") for _ in range(n)) for n in (3, 7, 100, 135, 200, 400, 900, 5000)]
+    some += [c * n for c in ("x", "ab", "abcdefgh ") for n in (30, 200, 700)] + [some[4] + some[4][:50] * 20]
+    df = spark.createDataFrame([(i, "\n".join(some[i % 3 :])) for i in range(6)], "id long, text string")
+    columns = ["k1", "k2", "n", *(f"m{k}" for k in range(16))]
+    got = line_dedup.signatures(df)
+    whole = line_dedup._minima(line_dedup.lines_of(df), None).select(columns).collect()
+    assert sorted(got.select(columns).collect()) == sorted(whole) and len(whole) == len(some)
+    assert got.select("item").distinct().count() == len(some)
+    first = line_dedup._minima(line_dedup.lines_of(df), line_dedup.SPARE)
+    assert 0 < first.where("missed").count() < len(some)
+
+
+def test_small_buckets_need_no_blocks(spark, monkeypatch):
+    """Open buckets of few lines are settled by their own pairs; larger ones by blocks, with the same result."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for base in ([word() for _ in range(40)] for _ in range(12)):
+        for k in range(5):  # some pairs of a bucket are links, others aren't
+            rows.append((len(rows), " ".join(base[: 40 - 3 * k] + [word() for _ in range(3 * k)])))
+    df, truth = spark.createDataFrame(rows, "doc_id long, text string"), brute_dropped(rows)
+    made, blocks = [], links.links_between
+    monkeypatch.setattr(links, "links_between", lambda *a: made.append(1) or blocks(*a))
+    assert {r.doc_id: r.dropped for r in dropped_lines(df).collect()} == truth and not made
+    monkeypatch.setattr(line_dedup, "FEW", 2)
+    assert {r.doc_id: r.dropped for r in dropped_lines(df).collect()} == truth and made
+
+
 def test_line_path_is_native(spark, small):
     plan = op10_line_dedup(spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
