@@ -19,6 +19,21 @@ def frames(spark, sets):
     return sizes, lambda wanted: contents.join(wanted, "item")
 
 
+def joined_by(spark, key, since):
+    """Rows made by the joins on `key` without further condition, in the queries from number `since` on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    made = 0
+    for k in range(since, store.executionsCount()):
+        run = store.executionsList(k, 1).apply(0).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and f" [{key}#" in node.desc() and "(" not in node.desc():
+                for metric in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.get(metric.accumulatorId()).isDefined():
+                        made += int(values.get(metric.accumulatorId()).get().replace(",", ""))
+    return made
+
+
 def most_rows(spark, since):
     """The most rows that one join or generator made in the queries from number `since` on, and the next number."""
     store = spark._jsparkSession.sharedState().statusStore()
@@ -70,3 +85,19 @@ def test_pairs_of_a_crowded_bucket(spark):
     got = {r.item: r.label for r in links.classes(members, sizes, content_of, 0.2 + 1e-12).collect()}
     assert got == {i: i - i % 2 if i % 100 < 2 else i for i in range(n)}
     assert most_rows(spark, before)[0] <= 200 * n, "rows of a step grow with the elements of the sets, not with pairs"
+
+
+def test_common_elements_of_hot_groups_are_not_joined(spark):
+    """Two groups of near copies: of each set only the elements before its last, most frequent ones are joined; links are those of all pairs."""
+    rng = random.Random(12)
+    sets = {}
+    for family, n in ((0, 150), (1, 90)):
+        for _ in range(n):
+            gone, own = rng.sample(range(100), rng.randrange(8, 16)), 10_000 + 100 * len(sets)
+            sets[len(sets)] = {family * 1000 + k for k in range(100) if k not in gone} | {own + k for k in range(rng.randrange(4))}
+    comps = {i: i - i % 3 for i in sets}
+    items = spark.createDataFrame([(i, c) for i, c in comps.items()], "item long, comp long")
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = links.links_between(items, *frames(spark, sets), lambda c: c, 0.2 + 1e-12).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(brute_links(sets, comps, 0.8))
+    assert joined_by(spark, "e", before) < 0.4 * sum(map(len, sets.values()))
