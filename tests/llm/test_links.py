@@ -101,3 +101,22 @@ def test_common_elements_of_hot_groups_are_not_joined(spark):
     got = links.links_between(items, *frames(spark, sets), lambda c: c, 0.2 + 1e-12).collect()
     assert sorted((r.a, r.b) for r in got) == sorted(brute_links(sets, comps, 0.8))
     assert joined_by(spark, "e", before) < 0.4 * sum(map(len, sets.values()))
+
+
+def test_classes_without_sizes(spark):
+    """Sets whose sizes nobody counted, also sets far apart in size: classes are those of all pairs inside buckets."""
+    rng = random.Random(3)
+    sets, members = {}, []
+    for family in range(8):
+        for k in range(7):
+            sets[len(sets)] = set(rng.sample(range(family * 100, family * 100 + 40), (40, 38, 36, 33, 30, 12, 5)[k]))
+            members.append((family, len(sets) - 1))
+    members = spark.createDataFrame(members, "bucket long, item long")
+    label = {i: i for i in sets}
+    for b, a in brute_links(sets, label, 0.8):
+        low, high = sorted((label[a], label[b]))
+        label = {i: low if c == high else c for i, c in label.items()}
+    content_of = frames(spark, sets)[1]
+    for few in (0, 32):
+        got = {r.item: r.label for r in links.classes(members, None, content_of, 0.2 + 1e-12, few=few).collect()}
+        assert got == {i: min(j for j in label if label[j] == label[i]) for i in label}
