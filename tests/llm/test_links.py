@@ -120,3 +120,15 @@ def test_classes_without_sizes(spark):
     for few in (0, 32):
         got = {r.item: r.label for r in links.classes(members, None, content_of, 0.2 + 1e-12, few=few).collect()}
         assert got == {i: min(j for j in label if label[j] == label[i]) for i in label}
+
+
+def test_uncounted_sizes_are_counted_once(spark, monkeypatch):
+    """Sizes that nobody counted are kept before pairs are measured by them, so no set is made again for its size alone."""
+    rng = random.Random(5)
+    sets = {i: set(rng.sample(range(40 * (i % 3), 40 * (i % 3) + 40), 34 + i % 6)) for i in range(60)}
+    items = spark.createDataFrame([(i, i) for i in sets], "item long, comp long")
+    plans, measured = [], links.measured
+    monkeypatch.setattr(links, "measured", lambda pairs, sizes, *a: plans.append(sizes._jdf.queryExecution().optimizedPlan().toString()) or measured(pairs, sizes, *a))
+    got = links.links_between(items, None, frames(spark, sets)[1], lambda c: links.F.array_distinct(c), 0.2 + 1e-12).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(brute_links(sets, {i: i for i in sets}, 0.8))
+    assert len(plans) == 1 and "array_distinct" not in plans[0]
