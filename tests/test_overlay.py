@@ -164,3 +164,19 @@ def test_many_short_edges_and_one_long(spark):
     area = abs(sum(a * d - c * b for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]))) / 2
     got = O.overlay_areas(edges, edges_of(spark, [box(-10, -100, 5100, 310)])).first()
     assert got.area_a == pytest.approx(area, rel=1e-9) and got.both + got.only_a == pytest.approx(area, rel=1e-9)
+
+
+def test_few_edges_are_one_cell(spark, monkeypatch):
+    """Edges of a small key are dealt once, far from the origin too; many cells give the same areas."""
+    rng = random.Random(5)
+    a, b = [[star(rng, 7, 10, 40, 4e5, 5e6)] for _ in range(6)], [[star(rng, 8, 10, 40, 4e5 + 9, 5e6 - 4)] for _ in range(6)]
+    one = lambda shapes: edges_of(spark, *shapes)
+    edges = O.snapped(one(a), O.FIELD, O.UNIT)
+    dealt = lambda: O.dealt(edges.join(O.cell_widths(edges, O.FIELD), "field_id")).count()
+    areas = lambda: {r.field_id: tuple(r)[1:] for r in O.overlay_areas(one(a), one(b)).collect()}
+    assert dealt() == edges.count()
+    found = areas()
+    monkeypatch.setattr(O, "FEW", 0)
+    assert dealt() > edges.count()
+    for k, v in areas().items():
+        assert v == pytest.approx(found[k], abs=1e-3)
