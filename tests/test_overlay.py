@@ -1,6 +1,7 @@
 """Overlay, offset and cover of polygons against closed forms and against sums over fine grids."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from furrow.operators import overlay as O
 from furrow.operators import rings as R
+from furrow.operators.graph import shared_folder
+from furrow.plans import areal
 
 STEP = 0.25
 
@@ -180,3 +183,19 @@ def test_few_edges_are_one_cell(spark, monkeypatch):
     assert dealt() > edges.count()
     for k, v in areas().items():
         assert v == pytest.approx(found[k], abs=1e-3)
+
+
+def test_steps_leave_one_table(spark):
+    """Of the tables that an overlay writes, its result stays."""
+    folder = shared_folder(spark).removeprefix("file:")
+    a, b = edges_of(spark, [box(0, 0, 9, 9)]), edges_of(spark, [box(3, 3, 12, 12)])
+    before = set(os.listdir(folder))
+    out = O.overlaid(a, b, O.UNION)
+    new = set(os.listdir(folder)) - before
+    assert len(new) == 1 and out.inputFiles()[0].split("/")[-2] in new
+    assert O.measures(out).first().area == pytest.approx(126, abs=1e-6)
+
+
+def test_strips_are_dealt_out_before_they_become_edges(spark, small):
+    """A supplier table of one small file makes its strips in many tasks."""
+    assert areal._strips(spark, small).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
