@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import unicodedata
@@ -10,6 +11,7 @@ from furrow.llm.line_dedup import deduplicate_lines, dropped_lines
 from furrow.llm.near_duplicates import dart_signatures, near_duplicate_classes, one_of_each_class, scramble
 from furrow.llm.queries import op4_near_duplicates, op10_line_dedup
 from furrow.operators.graph import linked as components
+from furrow.operators.graph import shared_folder
 
 
 class Union:
@@ -260,3 +262,18 @@ def test_recall_of_planted_pairs_by_similarity(spark):
     recall = {k: sum(v) / len(v) for k, v in found.items()}
     assert recall[0.6] == recall[0.7] == recall[0.78] == 0 and all(recall[k] >= 0.9 for k in (0.805, 0.85, 0.9, 0.95)), recall
     assert recall[0.9] == recall[0.95] == 1.0
+
+
+def test_line_dedup_lets_go_of_its_tables(spark, small, monkeypatch):
+    """Signatures and places of repeated lines are gone when the result is read; texts are hashed, not sorted, to meet many dropped lines."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = sorted(tuple(r) for r in deduplicate_lines(docs).select("doc_id", "text").collect())
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder.removeprefix("file:")))
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    out = deduplicate_lines(docs).select("doc_id", "text")
+    new = set(os.listdir(folder.removeprefix("file:"))) - before
+    columns = {c for name in new for c in spark.read.parquet(f"{folder}/{name}").columns}
+    assert not columns & {"m0", "line_group", "keeper"}
+    assert "ShuffledHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == want
